@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trigraph.functions.lineage import cut
 from trigraph.functions.ranks import running_total
+from trigraph.functions.skew import lookup
 
 #: A missing score neither helps nor harms: it counts as the middle of its score.
 MISSING = 0.5
@@ -48,11 +49,7 @@ def leximin_rank(items: DataFrame, ident: str, scores: Sequence[Column], missing
     one = cut(base.groupBy("__id").agg(*(F.max(c).alias(n) for n, c in zip(names, clean))))
     long = one.select("__id", F.posexplode(F.array(*names)).alias("score", "value")).where("value is not null")
     known = percentiles(long)
-    hot = F.broadcast(known.where("hot").drop("hot"))
-    cold = known.where("not hot").drop("hot")
-    on = ["score", "value"]
-    placed = long.join(hot, on).select("__id", "p").unionByName(long.join(hot, on, "left_anti").join(cold, on).select("__id", "p"))
-    found = placed.groupBy("__id").agg(F.collect_list("p").alias("__ps"))
+    found = lookup(long, known, ["score", "value"], "hot").groupBy("__id").agg(F.collect_list("p").alias("__ps"))
     filled = F.concat(F.coalesce("__ps", F.array().cast("array<double>")), F.array_repeat(F.lit(float(missing)), F.lit(len(names)) - F.coalesce(F.size("__ps"), F.lit(0))))
     vectors = one.select("__id").join(found.withColumn("__has", F.lit(True)), "__id", "left")
     vectors = vectors.select("__id", F.array_sort(F.when(F.col("__has"), filled).otherwise(F.array_repeat(F.lit(float(missing)), len(names)))).alias("percentiles"))

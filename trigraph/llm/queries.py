@@ -8,6 +8,7 @@ from trigraph.llm.leaks import find_leaks
 from trigraph.llm.leximin import rank_books
 from trigraph.llm.mixing import mix_boards
 from trigraph.llm.repetition import measure, self_repeating
+from trigraph.llm.variants import author_names, variant_classes, variant_pairs
 
 #: A public tokenizer's vocabulary, read where it is installed.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -25,6 +26,14 @@ def p2_leximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("book_id", "rank", p[0].alias("weakest"), p[1].alias("middle"), p[2].alias("strongest"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(author_names(read(spark, sf_dir, "books")))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_classes(author_names(read(spark, sf_dir, "books")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -51,6 +60,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_leximin": p2_leximin,
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p6_found": p6_found,
     "p7_mix": p7_mix,
     "p7_curriculum": p7_curriculum,
