@@ -118,8 +118,9 @@ def chain_breaks(
 
     1. Records are salted by block of the position axis, one shuffle on (key, block). Inside a group the predecessor
        is a running maximum.
-    2. Each group is pre-aggregated, without a further shuffle, to its compact state: the last position. The states
-       of a key are put in order and each block gets the last position of the key's block before it.
+    2. Each group is pre-aggregated, without a further shuffle, to its compact state: the last position and the
+       number of links. The states of a key are put in order and each block with links gets the last position of the
+       key's block before it. Both uses of the salted records read the same columns, so they share one shuffle.
     3. These carried states are joined to the first records of the groups only; the predecessor of a record is the
        in-group one or else the carried one.
 
@@ -137,9 +138,10 @@ def chain_breaks(
     group = Window.partitionBy("__k", "__b").orderBy("__p")
     inside = rows.withColumn("__prev", F.max("__p").over(group.rangeBetween(Window.unboundedPreceding, -1)))
     linked = inside.where(v.isNotNull() & (v != none_link))
-    states = rows.groupBy("__k", "__b").agg(F.max("__p").alias("__last"))
-    carried = states.select("__k", "__b", F.lag("__last").over(Window.partitionBy("__k").orderBy("__b")).alias("__carry"))
-    first = linked.where(F.col("__prev").isNull()).drop("__prev").join(carried.where("__carry is not null"), ["__k", "__b"], "left")
+    states = rows.groupBy("__k", "__b").agg(F.max("__p").alias("__last"), F.count_if(v != none_link).alias("__links"))
+    carried = states.select("__k", "__b", "__links", F.lag("__last").over(Window.partitionBy("__k").orderBy("__b")).alias("__carry"))
+    carried = carried.where("__carry is not null and __links > 0").drop("__links")
+    first = linked.where(F.col("__prev").isNull()).drop("__prev").join(carried, ["__k", "__b"], "left")
     broken_first = first.where(F.col("__carry").isNull() | (v != F.col("__carry"))).select(k, p)
     broken_inside = linked.where(F.col("__prev").isNotNull() & (v != F.col("__prev"))).select(k, p)
     return broken_inside.union(broken_first).distinct().select(k.alias(key), p.alias(position))
