@@ -39,12 +39,12 @@ def query(name: str, sql: str | None = None):
 
 
 def traverse(name: str, sql: str, chain: Callable[[Traversal], Traversal], start=None, track: bool = True, kept_triples: bool = False, **columns):
-    """A query by a chain from ``v(start)``; ``columns`` are what is selected, by default the id."""
+    """A query by a chain from ``v(start)``; ``columns`` are the expressions selected, by default the id."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = (kept if kept_triples else graph)(spark, sf_dir)
         t = chain(Traversal.start(g.tables, start, None, track))
-        return t.df().select(*(c.alias(n) for n, c in (columns or {"id": F.col("id")}).items()))
+        return t.df().selectExpr(*(f"{c} AS {n}" for n, c in (columns or {"id": "id"}).items()))
 
     QUERIES[name], SQL[name] = run, f"WITH {K if kept_triples else E}{sql}"
 
@@ -103,22 +103,22 @@ traverse(
     "q15_tag",
     " SELECT a.s AS src, a.o AS mid, b.o AS id FROM E a JOIN E b ON a.o = b.s AND b.p = 'in_region' WHERE a.p = 'in_nation'",
     lambda t: t.tag("a").out("in_nation").tag("b").out("in_region"),
-    src=F.col("tags")["a"],
-    mid=F.col("tags")["b"],
-    id=F.col("id"),
+    src="tags['a']",
+    mid="tags['b']",
+    id="id",
 )
 traverse(
     "q16_back",
     " SELECT a.s AS id FROM E a WHERE a.p = 'placed_by' AND EXISTS (SELECT 1 FROM E b WHERE b.s = a.o AND b.p = 'in_nation' AND b.o = 'nation:7')",
     lambda t: t.tag("order").out("placed_by").has("in_nation", "nation:7").back("order"),
 )
-traverse("q16b_tag_again", " SELECT b.s AS x, b.o AS id FROM E a JOIN E b ON a.o = b.s AND b.p = 'in_region' WHERE a.p = 'in_nation'", lambda t: t.tag("x").out("in_nation").tag("x").out("in_region"), x=F.col("tags")["x"], id=F.col("id"))
-traverse("q17_edges", " SELECT o AS id, p AS edge FROM E WHERE s = 'order:3'", lambda t: t.out(), "order:3", id=F.col("id"), edge=F.col("edges")[0])
+traverse("q16b_tag_again", " SELECT b.s AS x, b.o AS id FROM E a JOIN E b ON a.o = b.s AND b.p = 'in_region' WHERE a.p = 'in_nation'", lambda t: t.tag("x").out("in_nation").tag("x").out("in_region"), x="tags['x']", id="id")
+traverse("q17_edges", " SELECT o AS id, p AS edge FROM E WHERE s = 'order:3'", lambda t: t.out(), "order:3", id="id", edge="edges[0]")
 traverse(
     "q17b_paths",
     " SELECT a.s || '>' || a.p || '>' || a.o || '>' || b.p || '>' || b.o AS path FROM E a JOIN E b ON a.o = b.s AND b.p = 'in_region' WHERE a.p = 'in_nation' AND a.s LIKE 'supplier:%'",
     lambda t: t.filter(F.col("id").startswith("supplier:")).out("in_nation").out("in_region"),
-    path=F.concat_ws(">", "path"),
+    path="concat_ws('>', path)",
 )
 
 
@@ -138,7 +138,8 @@ def search(name: str, sql: str, start, find=recursive.bfs, kept_triples: bool =
     @query(name, f"WITH RECURSIVE {K if kept_triples else E}{sql}")
     def _(spark, sf_dir):
         g = (kept if kept_triples else graph)(spark, sf_dir)
-        found = find(Traversal.start(g.tables, start, None, track), **options, **({"depth_column": True} if depth else {}))
+        stop = {"until": F.expr(options["until"])} if "until" in options else {}
+        found = find(Traversal.start(g.tables, start, None, track), **options | stop, **({"depth_column": True} if depth else {}))
         return found.rows.select("id", *(["depth"] if depth else []))
 
 
@@ -160,7 +161,7 @@ search(
     "part:1",
     predicates="child_of",
     direction="inc",
-    until=F.col("id").endswith("5"),
+    until="endswith(id, '5')",
 )
 search(
     "q24_bfs_walks",
