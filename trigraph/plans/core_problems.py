@@ -74,4 +74,28 @@ v AS (SELECT book_id, list_filter(list_transform(flatten(list_transform(pieces,
         ELSE string_split_regex(p, chr(2) || '(?:[,;/|&\t\n\r]|[Aa][Nn][Dd])' || chr(2) || '|' || chr(2)) END)),
         lambda n: trim(n, E' \t\n\r')), lambda n: n <> '') AS names FROM m)
 SELECT DISTINCT book_id, unnest(range(1, len(names) + 1))::BIGINT AS pos, unnest(names) AS author FROM v WHERE len(names) > 1""",
+    "p5_found": r"""
+WITH RECURSIVE d AS (SELECT raw_id, max({'t': loaded_at, 'j': doc_json}).j AS j FROM people_raw WHERE raw_id IS NOT NULL AND doc_json IS NOT NULL GROUP BY raw_id),
+p(raw_id, path, parent, j) AS (
+  SELECT raw_id, '', '-', j::JSON FROM (SELECT raw_id, CASE WHEN json_valid(j) THEN j END AS j FROM d) WHERE json_type(j) = 'OBJECT'
+  UNION ALL
+  SELECT raw_id, CASE WHEN path = '' THEN '' ELSE path || '.' END || i::VARCHAR, path, f FROM (
+    SELECT raw_id, path, unnest(range(len(fs))) AS i, unnest(fs) AS f FROM (
+      SELECT raw_id, path, CASE json_type(j, '$.friends') WHEN 'ARRAY' THEN (j->'$.friends')::JSON[]
+        WHEN 'OBJECT' THEN CASE WHEN len(json_keys(j, '$.friends')) > 0 THEN [j->'$.friends'] ELSE [] END
+        WHEN 'VARCHAR' THEN CASE WHEN json_valid(j->>'$.friends') AND json_type(CASE WHEN json_valid(j->>'$.friends') THEN j->>'$.friends' END) = 'ARRAY' THEN (j->>'$.friends')::JSON[]
+          WHEN trim(j->>'$.friends') = '' THEN [] ELSE [j->'$.friends'] END
+        ELSE [] END AS fs FROM p WHERE json_type(j) = 'OBJECT'))
+  WHERE json_type(f) IN ('OBJECT', 'VARCHAR')),
+x AS (SELECT raw_id, path, parent, json_type(j) = 'VARCHAR' AS bare, j,
+  CASE json_type(j, '$.contact') WHEN 'ARRAY' THEN (j->'$.contact')::JSON[] WHEN 'OBJECT' THEN [j->'$.contact'] ELSE [] END AS cs,
+  CASE WHEN json_type(j, '$.location') = 'ARRAY' THEN j->'$.location[0]' ELSE j->'$.location' END AS l FROM p),
+y AS (SELECT *, list_filter(list_transform(flatten(list_transform(cs, lambda c: CASE json_type(c, '$.phone') WHEN 'ARRAY' THEN (c->'$.phone')::JSON[] ELSE [c->'$.phone'] END)),
+  lambda v: CASE WHEN json_type(v) = 'NULL' THEN '' ELSE coalesce(v->>'$', '') END), lambda t: trim(t) <> '') AS ps FROM x),
+z AS (SELECT *, CASE WHEN len(ps) > 0 THEN ps ELSE [''] END AS qs FROM y)
+SELECT raw_id, path AS person_path, parent AS parent_path,
+  CASE WHEN bare THEN '' WHEN json_type(j, '$._id') = 'OBJECT' THEN coalesce(json_extract_string(j, '$._id."' || json_keys(j, '$._id')[1] || '"'), '') ELSE coalesce(j->>'$._id', '') END AS id_text,
+  CASE WHEN bare THEN j->>'$' ELSE coalesce(j->>'$.name', '') END AS person_name,
+  CASE WHEN bare THEN '' WHEN json_type(l) = 'VARCHAR' THEN l->>'$' ELSE coalesce(l->>'$.city', '') END AS city,
+  CASE WHEN len(ps) > 0 THEN unnest(range(len(qs))) ELSE -1 END::BIGINT AS phone_pos, unnest(qs) AS phone FROM z""",
 }
