@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def write_folder(edges: DataFrame, path: str, fmt: str = "nt", strict: bool = Fa
         named.write.option("header", True).option("sep", "," if fmt == "csv" else "\t").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def get_triples(graph) -> Iterator[tuple[str, str, str]]:
+    """All (s, p, o) of a graph, one partition at a time."""
+    return graph.iter_triples()
+
+
 def write_file(edges: DataFrame, path: str, fmt: str = "nt", strict: bool = False) -> int:
     """One local file, streamed partition by partition; returns the number of triples."""
     fmt = check_format(fmt)

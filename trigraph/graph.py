@@ -112,7 +112,12 @@ class Graph:
         self._stored().flush()
         return self
 
-    close = sync
+    close = end_batch = sync
+
+    def begin_batch(self) -> Graph:
+        """Changes wait in the buffer until it is full, read, or ended; that is how they always go."""
+        self._stored()
+        return self
 
     def compact(self) -> Graph:
         self._stored().flush()

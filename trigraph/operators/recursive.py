@@ -59,7 +59,7 @@ def bfs(
     if not tables.stored:
         near = cut(near)
     stop = condition(until) if until is not None else None
-    frontier = cut(start.rows)
+    frontier = start.rows if start.starts is not None else cut(start.rows)
     visited = frontier.select("id").distinct()
     found: list[DataFrame] = []
     depth = 0

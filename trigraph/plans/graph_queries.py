@@ -14,7 +14,7 @@ from trigraph.operators import mutation, recursive, vectors
 from trigraph.operators.traversal import DESC, Traversal
 from trigraph.plans.triples import EDGES, graph, kept, table
 from trigraph.sources.documents import document_triples, flat_json_triples
-from trigraph.sources.files import unpivot
+from trigraph.sources.files import read_csv, read_edgelist, read_triples, read_word_vectors, unpivot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -402,3 +402,38 @@ def _(spark, sf_dir):
 
     nodes = kept(spark, sf_dir).tables.nodes
     return nodes.mapInPandas(run, "id string, vec array<double>").select("id", F.size("vec").alias("dimensions"))
+
+
+# files: written from the tables into the shared folder and read back by the engine's readers
+_WRAP = "CASE WHEN {0} LIKE '<%>' OR {0} LIKE '\\_:%' ESCAPE '\\' THEN {0} ELSE '<' || {0} || '>' END"
+
+
+@query("q47_load_triples", f"WITH {K} SELECT DISTINCT {_WRAP.format('s')} AS s, {_WRAP.format('p')} AS p, o FROM K WHERE NOT contains(s || p, ' ')")
+def _(spark, sf_dir):
+    path = shared_path(spark, "nt")
+    export.write_folder(kept(spark, sf_dir).triples_df().where("instr(p, ' ') = 0 and instr(s, ' ') = 0"), path, "nt", strict=True)
+    return read_triples(spark, path).distinct()
+
+
+@query("q48_load_edgelist", f"WITH {K} SELECT s, 'knows' AS p, o FROM K WHERE p = 'follows' AND s <> '' AND o <> '' AND NOT regexp_matches(s || o, '\\s')")
+def _(spark, sf_dir):
+    path = shared_path(spark, "edges")
+    rows = kept(spark, sf_dir).triples_df().where(r"p = 'follows' and s <> '' and o <> '' and not (concat(s, o) rlike '\\s')")
+    rows.select(F.concat_ws(" ", "s", "o").alias("value")).write.text(path)
+    return read_edgelist(spark, path, "knows")
+
+
+@query("q49_load_csv", " UNION ALL ".join(f"SELECT book_id::VARCHAR AS s, '{c}' AS p, coalesce({c}::VARCHAR, '') AS o FROM b" for c in ("book_id", "authors", "title")).join(("WITH b AS (SELECT DISTINCT book_id, authors, title FROM books WHERE book_id IS NOT NULL) ", "")))
+def _(spark, sf_dir):
+    path = shared_path(spark, "csv")
+    rows = table(spark, sf_dir, "books").select("book_id", "authors", "title").where("book_id is not null").distinct()
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_csv(spark, path, "book_id")
+
+
+@query("q50_load_word_vectors", "SELECT concat('part:', vec_id) AS id, len(embedding)::INTEGER AS dimensions, round(embedding[1]::DOUBLE, 4) AS x FROM embeddings")
+def _(spark, sf_dir):
+    path = shared_path(spark, "vectors")
+    e = table(spark, sf_dir, "embeddings")
+    e.select(F.concat_ws(" ", F.concat(F.lit("part:"), "vec_id"), F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("double").cast("string")))).alias("value")).write.text(path)
+    return read_word_vectors(spark, path).select("id", F.size("vec").alias("dimensions"), F.round(F.col("vec")[0], 4).alias("x"))
