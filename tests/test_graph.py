@@ -220,6 +220,7 @@ def test_key_value_layer(spark, tmp_path):
     kv.use_table("t").put("a", "1").put("a", "2").put_list("l", "x").put_list("l", "y").put_set("s", "u").put_set("s", "v").put_set("s", "u").put("gone", "1").delete("gone")
     assert kv.get("a") == "2" and kv.get("l") == ["y", "x"] and kv.get("s") == ["u", "v"] and kv.get("gone") is None
     kv.put("l", "scalar").put_list("m", "1")
+    assert dict(kv.scanner()) == {"a": "2", "l": "scalar", "m": ["1"], "s": ["u", "v"]}
     assert kv.get("l") == "scalar" and sorted(kv.scanner(lambda k: k.upper())) == ["A", "L", "M", "S"]
     assert kv.list_tables() == ["t"] and kv.is_namespace("ns") and not kv.is_namespace("none")
     assert kv.use_table("other").get("a") is None and kv.use_table("t").get("a") == "2"

@@ -31,6 +31,7 @@ def test_rules(spark):
         '"open, B',
         "O'Neil, D'Arcy",
         '"A, B" C, D',
+        "Al Bo, PhD; Cy Di, Jr., Ed Fo, Junior",
     ]
     want = [
         ["A B", "C D"],
@@ -47,6 +48,7 @@ def test_rules(spark):
         ['"open', "B"],
         ["O'Neil", "D'Arcy"],
         ['"A', 'B" C', "D"],
+        ["Al Bo, PhD", "Cy Di, Jr.", "Ed Fo", "Junior"],
     ]
     assert run(spark, texts) == want
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigraph.config import Config
 from trigraph.functions.files import Files
-from trigraph.operators.mutation import DELETE, LIST, PUT, SET, live_values
+from trigraph.operators.mutation import DELETE, LIST, PUT, SET, live_items
 from trigraph.schema import KV_LOG
 
 
@@ -88,21 +89,31 @@ class KeyValueStore:
         self.flush()
         return self.spark.read.schema(KV_LOG).parquet(self.path).where(F.col("tbl") == self.table)
 
-    def values(self) -> DataFrame:
-        """(key, kind, values) of the current table."""
-        return live_values(self.log()).select("key", "kind", "values")
+    def items(self) -> DataFrame:
+        """(key, kind, seq, value) of the current table, one row per value."""
+        return live_items(self.log()).select("key", "kind", "seq", "value")
 
     def get(self, key: str) -> str | list[str] | None:
         """A point lookup; the key filter reaches the scan."""
-        found = live_values(self.log().where(F.col("key") == key)).collect()
-        if not found:
-            return None
-        return found[0]["values"][0] if found[0]["kind"] == "s" else list(found[0]["values"])
+        rows = live_items(self.log().where(F.col("key") == key)).collect()
+        return next((value for _, value in _grouped(sorted(rows, key=_place))), None)
 
     def scanner(self, process: Callable[[str], object] | None = None) -> Iterator:
-        """(key, value) pairs, or ``process(key)`` in their place, one partition at a time."""
-        for r in self.values().toLocalIterator(prefetchPartitions=True):
-            yield process(r["key"]) if process else (r["key"], r["values"][0] if r["kind"] == "s" else list(r["values"]))
+        """(key, value) pairs in order of key, or ``process(key)`` in their place, one partition at a time."""
+        place = F.when(F.col("kind") == "l", -F.col("seq")).otherwise(F.col("seq"))
+        rows = self.items().orderBy("key", place).toLocalIterator(prefetchPartitions=True)
+        for key, value in _grouped(rows):
+            yield process(key) if process else (key, value)
+
+
+def _place(row) -> int:
+    return -row["seq"] if row["kind"] == "l" else row["seq"]
+
+
+def _grouped(rows: Iterable) -> Iterator[tuple[str, str | list[str]]]:
+    for key, group in groupby(rows, key=lambda r: r["key"]):
+        held = list(group)
+        yield key, held[0]["value"] if held[0]["kind"] == "s" else [r["value"] for r in held]
 
 
 def temporary(spark: SparkSession) -> KeyValueStore:

@@ -37,17 +37,24 @@ def live_embeddings(log: DataFrame) -> DataFrame:
     return last.where(F.col("b.op") != DELETE).select("id", F.col("b.vec").alias("vec"))
 
 
-def live_values(log: DataFrame) -> DataFrame:
-    """Live (tbl, key, kind, values) of a key-value log.
+def live_items(log: DataFrame) -> DataFrame:
+    """Live (tbl, key, kind, seq, value) of a key-value log, one row per value.
 
-    ``kind`` is s (scalar), l (list, newest first) or u (set, in order of first adding). A scalar put and a delete void
-    what was before; a list or set goes on from there.
+    ``kind`` is s (scalar), l (list, newest ``seq`` first) or u (set, in order of ``seq``, the first adding). A scalar
+    put and a delete void what was before; a list or set goes on from there.
+
+    A key's values are never gathered: each key is reduced to a compact state, and the state is joined to its
+    records, a join that adaptive execution splits for keys with many records.
     """
-    base = log.where(F.col("op").isin(PUT, DELETE)).groupBy("tbl", "key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("b"))
-    added = log.where(F.col("op").isin(LIST, SET)).join(base.select("tbl", "key", F.col("b.seq").alias("since")), ["tbl", "key"], "left")
-    added = added.where(F.col("since").isNull() | (F.col("seq") > F.col("since")))
-    grown = added.groupBy("tbl", "key").agg(F.max_by("op", "seq").alias("op"), F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("all"))
-    items = F.transform("all", lambda x: x["value"])
-    grown = grown.select("tbl", "key", F.when(F.col("op") == LIST, "l").otherwise("u").alias("kind"), F.when(F.col("op") == LIST, F.reverse(items)).otherwise(F.array_distinct(items)).alias("values"))
-    scalar = base.where(F.col("b.op") == PUT).select("tbl", "key", F.lit("s").alias("kind"), F.array("b.value").alias("values"))
-    return grown.unionByName(scalar.join(grown.select("tbl", "key"), ["tbl", "key"], "left_anti"))
+    whole, grown = F.col("op").isin(PUT, DELETE), F.col("op").isin(LIST, SET)
+    states = log.groupBy("tbl", "key").agg(
+        F.max_by(F.struct("seq", "op", "value"), F.when(whole, F.col("seq"))).alias("base"),
+        F.max_by(F.struct("seq", "op"), F.when(grown, F.col("seq"))).alias("added"),
+    )
+    since = F.coalesce(F.col("base.seq"), F.lit(-1))
+    kind = F.when(F.col("added.seq") > since, F.when(F.col("added.op") == LIST, "l").otherwise("u")).when(F.col("base.op") == PUT, "s")
+    states = states.select("tbl", "key", "base", since.alias("since"), kind.alias("kind")).where("kind is not null")
+    scalars = states.where("kind = 's'").select("tbl", "key", "kind", "base.seq", "base.value")
+    items = log.where(grown).join(states.where("kind <> 's'").drop("base"), ["tbl", "key"]).where("seq > since").select("tbl", "key", "kind", "seq", "value")
+    sets = items.where("kind = 'u'").groupBy("tbl", "key", "kind", "value").agg(F.min("seq").alias("seq")).select("tbl", "key", "kind", "seq", "value")
+    return scalars.unionByName(items.where("kind = 'l'")).unionByName(sets)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 DELIMITERS = ",;/|&\t\n\r"
 WORDS = ("and",)
+#: After a comma these belong to the name before it.
+SUFFIXES = ("PhD", "Ph.D.", "MD", "M.D.", "Jr", "Jr.", "Sr", "Sr.", "II", "III", "IV", "Esq", "Esq.")
 #: Opening and closing marks that may enclose a value.
 MARKS = (('"', '"'), ("'", "'"), ("“", "”"), ("«", "»"), ("‘", "’"), ("‹", "›"), ("„", "“"))
 CUT = "\x01"
@@ -29,12 +31,14 @@ def packed_values(
     delimiters: str = DELIMITERS,
     words: Sequence[str] = WORDS,
     marks: Sequence[tuple[str, str]] = MARKS,
+    suffixes: Sequence[str] = SUFFIXES,
 ) -> Column:
     """The values of one packed text as an array in order; null text gives an empty array.
 
     A value is enclosed if its mark opens after a delimiter or the start and closes before a delimiter or the end.
     Enclosing marks go, a mark doubled inside them becomes one; marks within a bare value stay. Blanks around values
-    and empty values go. A mark that never closes is part of a bare value.
+    and empty values go. A mark that never closes is part of a bare value. A comma before one of ``suffixes`` alone
+    doesn't separate.
     """
     d = _class(delimiters)
     word = "(?i:" + "|".join(words) + ")" if words else "(?!)"
@@ -56,6 +60,9 @@ def packed_values(
         return F.array(out)
 
     bare = f"{d}|(?<!\\S){word}(?!\\S)"
+    if suffixes:
+        alone = "|".join(x.replace(".", "\\.") for x in suffixes)
+        bare = f"(?!,{BLANK}*+(?:{alone}){BLANK}*+(?:{d}|$))(?:{bare})"
     split = F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, literal(piece)).otherwise(F.split(piece, bare, -1)))
     values = F.filter(F.transform(F.flatten(split), trim), lambda v: v != "")
     return F.coalesce(values, F.array().cast("array<string>"))

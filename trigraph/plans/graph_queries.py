@@ -358,14 +358,15 @@ A AS (SELECT key, max_by(t, seq) AS kind, count(*) AS n, count(DISTINCT v) AS d,
 @query("q42_kv_values", _KV + """SELECT key, kind, CASE WHEN kind = 'l' THEN n ELSE d END AS n, CASE WHEN kind = 'l' THEN newest ELSE oldest END AS head FROM A
 UNION ALL SELECT key, 's', 1, max_by(v, seq) FROM S WHERE t = 's' AND key NOT IN (SELECT key FROM A) GROUP BY key""")
 def _(spark, sf_dir):
-    v = mutation.live_values(_records(spark, sf_dir))
-    return v.select("key", "kind", F.size("values").cast("bigint").alias("n"), F.col("values")[0].alias("head"))
+    items = mutation.live_items(_records(spark, sf_dir))
+    newest, oldest = F.max_by("value", "seq"), F.min_by("value", "seq")
+    return items.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.when(F.col("kind") == "l", newest).otherwise(oldest).alias("head"))
 
 
 @query("q43_kv_get", _KV + "SELECT key, kind, CASE WHEN kind = 'l' THEN n ELSE d END AS n FROM A WHERE key = 'user/0'")
 def _(spark, sf_dir):
-    v = mutation.live_values(_records(spark, sf_dir).where(F.col("key") == "user/0"))
-    return v.where("kind <> 's'").select("key", "kind", F.size("values").cast("bigint").alias("n"))
+    items = mutation.live_items(_records(spark, sf_dir).where(F.col("key") == "user/0"))
+    return items.where("kind <> 's'").groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q44_stream_triples", "SELECT DISTINCT concat('user:', user_id) AS s, 'did' AS p, event_type AS o FROM events WHERE event_type IS NOT NULL")
