@@ -133,7 +133,7 @@ def mix_sources(
         raise ValueError("a source has several targets, or there are too many sources")
     shares = {r.source: r.target_share for r in named}
     repeats = {r.source: max(0, r.max_repeats) for r in named}
-    aimed = sizes.where(F.col("source").isin(list(shares))) if shares else sizes.limit(0)
+    aimed = sizes.where(F.col("source").isin(list(shares))) if shares else sizes.where("false")
     held = {r.source: (r.t or 0, r.n) for r in aimed.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     given = allot(shares, {s: t for s, (t, _) in held.items()}, repeats, sum(t for t, _ in held.values()) if total_tokens is None else total_tokens)
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trigraph.llm.leaks import find_leaks
 from trigraph.llm.leximin import rank_books
-from trigraph.llm.mixing import mix_boards
+from trigraph.llm.mixing import Mix, mix_boards
 from trigraph.llm.repetition import measure, self_repeating
 from trigraph.llm.variants import author_names, variant_classes, variant_pairs
 
-#: A public tokenizer's vocabulary, read where it is installed.
+#: A public tokenizer's vocabulary, read where it is installed; a session's ``spark.trigraph.tokenizer`` names another.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Boards that are repeated come in late, the others fade.
 RAMPS = {"bread-lab": [(0.0, 0.25), (1.0, 1.75)], "small-gauge": [(0.0, 0.0), (0.25, 0.0), (1.0, 2.0)], "workbench": [(0.0, 1.5), (1.0, 0.5)]}
@@ -38,16 +38,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def _mix(spark: SparkSession, sf_dir: str, **rules) -> Mix:
+    tokenizer = spark.conf.get("spark.trigraph.tokenizer", TOKENIZER)
+    return mix_boards(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), tokenizer, **rules)
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_boards(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), TOKENIZER).rows
+    return _mix(spark, sf_dir).rows
 
 
 def p7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_boards(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), TOKENIZER, schedules=RAMPS).rows
+    return _mix(spark, sf_dir, schedules=RAMPS).rows
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_boards(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), TOKENIZER).report
+    return _mix(spark, sf_dir).report
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
