@@ -48,6 +48,9 @@ def test_tables_link_and_odd_documents(spark):
     assert all((r.raw_id, r.parent) in persons for r in t.phones.collect())
     t, rows = run(spark, [])
     assert rows == [] and t.persons.count() == 0
+    t.drop()
+    with pytest.raises(Exception, match="(?i)exist"):
+        t.persons.count()
 
 
 def test_deep_documents_parse_without_recursion(spark):

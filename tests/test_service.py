@@ -82,6 +82,8 @@ def test_read_only(spark, tmp_path):
 def test_views(spark, tmp_path):
     g = Graph(spark, "v", home=str(tmp_path)).put("a", "p", "</script>")
     view = g.v("a").out().view("../x/first")
-    assert view.path.startswith(str(tmp_path)) and g.lsv() == ["first"] and g.getv("first").html == view.html
+    with pytest.raises(FileNotFoundError):
+        g.getv("none")
+    assert view.path == f"{tmp_path}/views/first.html" and g.lsv() == ["first"] and g.getv("first").html == view.html
     assert "</script>\"" not in view.html.split("application/json")[1].split("</script>")[0] and "iframe" in view.render()
     assert "&lt;" in page("<t>", {"nodes": [], "links": []})

@@ -22,9 +22,10 @@ class Files:
         fs, p = self._at(path)
         fs.mkdirs(p)
 
-    def names(self, path: str) -> list[str]:
+    def names(self, path: str, folders: bool = True) -> list[str]:
+        """Names of the folders, or of the files, in a folder."""
         fs, p = self._at(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() == folders) if fs.exists(p) else []
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)

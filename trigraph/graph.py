@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json as jsonlib
-import tempfile
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trigraph import export as exporting
 from trigraph.config import Config
+from trigraph.functions.lineage import cut, shared_path
 from trigraph.operators import recursive, vectors
 from trigraph.operators.mutation import DELETE, PUT, REPLACE
 from trigraph.operators.traversal import ASC, Predicate, Tables, Traversal
@@ -30,13 +31,14 @@ def _texts(*values: str) -> None:
 class Graph:
     """A named graph. Chained traversal methods move ``current`` and return the graph; terminals read it.
 
-    ``Graph(spark, "name", home=...)`` stores under ``home`` (a temporary folder if none is named).
+    ``Graph(spark, "name", home=...)`` stores under ``home`` (a fresh part of the session's shared folder if none is
+    named).
     ``Graph.from_triples(df)`` reads existing DataFrames and can't be changed.
     """
 
     def __init__(self, spark: SparkSession, name: str, **options):
         self.spark, self.name = spark, name
-        self.config = Config.of(**({"home": tempfile.mkdtemp(prefix="trigraph-")} | options))
+        self.config = Config.of(**options if "home" in options else options | {"home": shared_path(spark, "graphs")})
         self.store: GraphStore | None = GraphStore(spark, self.config, name)
         self.current: Traversal | None = None
         self._fixed: Tables | None = None
@@ -265,8 +267,6 @@ class Graph:
                         got = [(None, None, str(e))]
                     yield pd.DataFrame(got, columns=["id", "vec", "error"])
 
-        from trigraph.functions.lineage import cut
-
         done = cut(missing.mapInPandas(run, "id string, vec array<double>, error string"))
         made = done.where("error is null")
         n = made.count()
@@ -359,8 +359,6 @@ class Graph:
         return self._move(vectors.k_nearest(start, text, k))
 
     def _fresh(self, t: Traversal) -> Traversal:
-        from dataclasses import replace
-
         return replace(t, tables=self.tables)
 
     # terminals

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
@@ -12,15 +11,16 @@ from pyspark.sql import functions as F
 
 from trigraph.config import Config
 from trigraph.functions.files import Files
+from trigraph.functions.lineage import shared_path
 from trigraph.operators.mutation import DELETE, LIST, PUT, SET, live_items
 from trigraph.schema import KV_LOG
 
 
 class KeyValueStore:
-    """Tables of string keys; a value is a scalar, a list (newest first) or a set."""
+    """Tables of string keys; a value is a scalar, a list (newest first) or a set. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, config: Config, namespace: str = "default"):
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, config: Config | None = None, namespace: str = "default"):
+        self.spark, self.config = spark, config or Config.of(home=shared_path(spark, "kv"))
         self.files = Files(spark)
         self._rows: list[tuple] = []
         self._seq = time.time_ns()
@@ -114,9 +114,3 @@ def _grouped(rows: Iterable) -> Iterator[tuple[str, str | list[str]]]:
     for key, group in groupby(rows, key=lambda r: r["key"]):
         held = list(group)
         yield key, held[0]["value"] if held[0]["kind"] == "s" else [r["value"] for r in held]
-
-
-def temporary(spark: SparkSession) -> KeyValueStore:
-    import tempfile
-
-    return KeyValueStore(spark, Config.of(home=tempfile.mkdtemp(prefix=f"trigraph-{uuid.uuid4().hex[:6]}-")))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trigraph.functions.files import Files
 from trigraph.functions.lineage import shared_path
 
 TAGGED = T.StructType(
@@ -241,6 +242,10 @@ class FlatTables:
         payload = [F.col("payload")[i].alias(name) for i, name in enumerate(SCHEMAS[tag])]
         return rows.select(F.col("doc_id").alias(self.ident), "pk", "parent", "ordinal", *payload)
 
+    def drop(self) -> None:
+        """Removes the written tables."""
+        Files(self.spark).delete(self.path)
+
     @property
     def persons(self) -> DataFrame:
         return self.table("person")

@@ -1,7 +1,8 @@
 """Breadth-first and depth-first search by frontier iteration.
 
 Each level is one join of the frontier with the edges, less what was visited. Levels are stored in the shared folder,
-which keeps plans short and survives lost executors. A frontier is broadcast only if its counted rows are few.
+which keeps plans short and survives lost executors. A frontier is broadcast only if its counted rows are few; the ids
+of a very small one are also pushed into the scan of stored edges.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigraph.functions.lineage import cut
-from trigraph.operators.traversal import Predicate, Traversal, adjacency, as_list, condition
+from trigraph.operators.traversal import PUSHED_STARTS, Predicate, Traversal, adjacency, as_list, condition
 
 #: Frontiers of at most so many rows are sent to all executors instead of shuffling the edges.
 BROADCAST_ROWS = 10_000
@@ -78,14 +79,17 @@ def bfs(
         few = frontier.limit(BROADCAST_ROWS + 1).count()
         if not few:
             break
-        step = _expand(F.broadcast(live) if few <= BROADCAST_ROWS else live, near, track)
+        edges = near
+        if tables.stored and few <= PUSHED_STARTS:
+            edges = adjacency(tables, as_list(predicates), direction, [r.id for r in live.select("id").distinct().collect()])
+        step = _expand(F.broadcast(live) if few <= BROADCAST_ROWS else live, edges, track)
         if unique:
             step = _least(step.join(visited, "id", "left_anti"), track)
         frontier = cut(step)
         depth += 1
         if unique:
             visited = cut(visited.unionByName(frontier.select("id"))) if depth % 8 == 0 else visited.unionByName(frontier.select("id"))
-    rows = start.rows.limit(0).withColumn("depth", F.lit(0))
+    rows = start.rows.where("false").withColumn("depth", F.lit(0))
     for level in found:
         rows = rows.unionByName(level)
     return replace(start, rows=rows if depth_column else rows.drop("depth"), starts=None, whole=None, sort=None)

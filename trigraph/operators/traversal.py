@@ -53,7 +53,7 @@ def hop_edges(tables: Tables, predicates: list[str] | None, direction: str, star
     """(src, pred, dst) along ``direction``; a predicate named twice gives its edges twice."""
     e = tables.edges
     if predicates is not None:
-        e = e.where(F.col("p").isin(list(dict.fromkeys(predicates)))) if predicates else e.limit(0)
+        e = e.where(F.col("p").isin(list(dict.fromkeys(predicates)))) if predicates else e.where("false")
     near, far = ("s", "o") if direction == "out" else ("o", "s")
     if starts is not None and len(starts) <= PUSHED_STARTS:
         e = e.where(F.col(near).isin(list(dict.fromkeys(starts))))

@@ -66,7 +66,7 @@ def sim(start: Traversal, text: str, operator: str, threshold: float | list[floa
 
 def everything(tables: Tables) -> Traversal:
     """All embedded texts as a frontier, whether or not they are nodes."""
-    ids = tables.embeddings.select("id") if tables.embeddings is not None else tables.nodes.select("id").limit(0)
+    ids = tables.embeddings.select("id") if tables.embeddings is not None else tables.nodes.select("id").where("false")
     return Traversal(tables, ids)._tracked()
 
 
@@ -74,7 +74,7 @@ def k_nearest(start: Traversal, text: str, k: int = 10, keep_similarity: bool =
     """The ``k`` rows most similar to ``text``, itself included; equal ones by id. Rows without vectors are left out."""
     target = embedding(start.tables, text)
     if target is None:
-        rows = start.rows.limit(0).withColumn("similarity", F.lit(0.0))
+        rows = start.rows.where("false").withColumn("similarity", F.lit(0.0))
     else:
         rows = similarities(start, target, strict=True)
     rest = [F.col("path")] if start.track else []

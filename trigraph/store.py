@@ -23,7 +23,8 @@ class GraphStore:
 
     Mutations are log rows; small ones wait in a buffer that is written before any read. A part counts once the
     manifest names it, so a job that dies half-way leaves the graph as it was. ``compact`` writes a snapshot (edges
-    clustered by predicate and subject, for file pruning) and starts a new log.
+    clustered by predicate and subject, for file pruning), starts a new log and removes the parts before the last
+    snapshot, so that plans made from the state just before still run. There is one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, config: Config, name: str):
@@ -133,11 +134,12 @@ class GraphStore:
         t.nodes.write.parquet(f"{at}/nodes")
         t.predicates.write.parquet(f"{at}/predicates")
         t.embeddings.write.parquet(f"{at}/embeddings")
-        old = [self.manifest["snapshot"], *self.manifest["edges"], *self.manifest["embeddings"]]
-        self.manifest |= {"edges": [], "embeddings": [], "snapshot": name}
+        gone = self.manifest.get("old", [])
+        old = [x for x in (self.manifest["snapshot"], *self.manifest["edges"], *self.manifest["embeddings"]) if x]
+        self.manifest |= {"edges": [], "embeddings": [], "snapshot": name, "old": old}
         self._save()
         self.version += 1
-        for part in filter(None, old):
+        for part in gone:
             self.files.delete(f"{self.path}/{part}")
 
 

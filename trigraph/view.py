@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import json
-import os
+import tempfile
 import webbrowser
 
+from trigraph.functions.files import Files
+
 MOST_LINKS = 5000
 
 PAGE = """<!doctype html>
@@ -29,20 +31,22 @@ def page(title: str, data: dict) -> str:
     return PAGE.format(title=html.escape(title), data=text)
 
 
-def _folder(graph) -> str:
-    return os.path.join(graph.config.root, graph.config.views)
+def _path(graph, name: str) -> str:
+    """Where a view is kept; only the last part of its name counts."""
+    last = name.replace("\\", "/").rsplit("/", 1)[-1]
+    return f"{graph.config.root.rstrip('/')}/{graph.config.views}/{last}.html"
 
 
 def saved(graph) -> list[str]:
-    at = _folder(graph)
-    return sorted(f.removesuffix(".html") for f in os.listdir(at) if f.endswith(".html")) if os.path.isdir(at) else []
+    at = f"{graph.config.root.rstrip('/')}/{graph.config.views}"
+    return [f.removesuffix(".html") for f in Files(graph.spark).names(at, folders=False) if f.endswith(".html")]
 
 
 class View:
-    """A saved page; only the last part of a name is used as the file's name."""
+    """A page of a traversal's graph, kept beside the graphs."""
 
-    def __init__(self, path: str, text: str):
-        self.path, self.html = path, text
+    def __init__(self, files: Files, path: str, text: str):
+        self.files, self.path, self.html = files, path, text
 
     @classmethod
     def of(cls, graph, name: str) -> View:
@@ -50,19 +54,18 @@ class View:
         links = t.graph_links().limit(MOST_LINKS + 1).count()
         if links > MOST_LINKS:
             raise ValueError(f"a view shows at most {MOST_LINKS} links; use limit()")
-        view = cls(os.path.join(_folder(graph), f"{os.path.basename(name)}.html"), page(name, t.graph()))
-        return view.persist()
+        return cls(Files(graph.spark), _path(graph, name), page(name, t.graph())).persist()
 
     @classmethod
     def load(cls, graph, name: str) -> View:
-        path = os.path.join(_folder(graph), f"{os.path.basename(name)}.html")
-        with open(path, encoding="utf-8") as f:
-            return cls(path, f.read())
+        files, path = Files(graph.spark), _path(graph, name)
+        text = files.read_text(path)
+        if text is None:
+            raise FileNotFoundError(path)
+        return cls(files, path, text)
 
     def persist(self) -> View:
-        os.makedirs(os.path.dirname(self.path), exist_ok=True)
-        with open(self.path, "w", encoding="utf-8") as f:
-            f.write(self.html)
+        self.files.write_text(self.path, self.html)
         return self
 
     def render(self, height: int = 600) -> str:
@@ -70,7 +73,10 @@ class View:
         return f'<iframe srcdoc="{html.escape(self.html)}" width="100%" height="{int(height)}"></iframe>'
 
     def show(self) -> View:
-        webbrowser.open(f"file://{os.path.abspath(self.path)}")
+        """Opens a copy of the page in the browser of the driver's machine."""
+        with tempfile.NamedTemporaryFile("w", suffix=".html", delete=False, encoding="utf-8") as f:
+            f.write(self.html)
+        webbrowser.open(f"file://{f.name}")
         return self
 
     def __str__(self) -> str:
