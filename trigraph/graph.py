@@ -267,17 +267,15 @@ class Graph:
                         got = [(None, None, str(e))]
                     yield pd.DataFrame(got, columns=["id", "vec", "error"])
 
+        skipped = total - missing.count()
         done = cut(missing.mapInPandas(run, "id string, vec array<double>, error string"))
         made = done.where("error is null")
         n = made.count()
         if n:
             self.put_embeddings_batch(made)
-        out = {"vectorized": n, "skipped": total - missing.count() if not n else total - n, "total": total}
+        out = {"vectorized": n, "skipped": skipped, "total": total}
         errors = [r.error for r in done.where("error is not null").select("error").limit(100).collect()]
-        if errors:
-            out["skipped"] = total - n - len(errors)
-            out["errors"] = errors
-        return out
+        return out | ({"errors": errors} if errors else {})
 
     def _auto_embed(self, text: str) -> None:
         if self._provider and self.store is not None and vectors.embedding(self.tables, text) is None:
