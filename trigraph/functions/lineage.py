@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_rows(df: DataFrame) -> int:
+    """Rows of a DataFrame that ``cut`` returned, counted from its stored copy without planning a query."""
+    return df._jdf.queryExecution().toRdd().count()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written table."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigraph.functions.lineage import cut
+from trigraph.functions.lineage import cut, stored_rows
 from trigraph.operators.traversal import PUSHED_STARTS, Predicate, Traversal, adjacency, as_list, condition
 
 #: Frontiers of at most so many rows are sent to all executors instead of shuffling the edges.
@@ -76,23 +76,23 @@ def bfs(
             break
         if depth >= MOST_LEVELS and not unique:
             raise RuntimeError(f"the search went on after {MOST_LEVELS} levels")
-        few = frontier.limit(BROADCAST_ROWS + 1).count()
-        if not few:
+        rows = len(start.starts) if depth == 0 and start.starts is not None else stored_rows(frontier)
+        if not rows:
             break
         edges = near
-        if tables.stored and few <= PUSHED_STARTS:
+        if tables.stored and rows <= PUSHED_STARTS:
             edges = adjacency(tables, as_list(predicates), direction, [r.id for r in live.select("id").distinct().collect()])
-        step = _expand(F.broadcast(live) if few <= BROADCAST_ROWS else live, edges, track)
+        step = _expand(F.broadcast(live) if rows <= BROADCAST_ROWS else live, edges, track)
         if unique:
             step = _least(step.join(visited, "id", "left_anti"), track)
         frontier = cut(step)
         depth += 1
         if unique:
             visited = cut(visited.unionByName(frontier.select("id"))) if depth % 8 == 0 else visited.unionByName(frontier.select("id"))
-    rows = start.rows.where("false").withColumn("depth", F.lit(0))
+    reached = start.rows.where("false").withColumn("depth", F.lit(0))
     for level in found:
-        rows = rows.unionByName(level)
-    return replace(start, rows=rows if depth_column else rows.drop("depth"), starts=None, whole=None, sort=None)
+        reached = reached.unionByName(level)
+    return replace(start, rows=reached if depth_column else reached.drop("depth"), starts=None, whole=None, sort=None)
 
 
 def dfs(
