@@ -1,6 +1,9 @@
+import itertools
+import math
 import random
+from collections import Counter
 
-from trigraph.llm.variants import folded_name, one_slip, soft_similarity, token_slips, variant_classes, variant_pairs
+from trigraph.llm.variants import NICKNAMES, THRESHOLD, folded_name, mistyped, name_links, one_slip, shortened, soft_similarity, token_shorts, token_slips, variant_classes, variant_pairs
 
 
 def frame(spark, names):
@@ -99,3 +102,37 @@ def test_pairs_of_a_class_and_empty_input(spark):
     assert got == [("U. Kibrudegli", "UNA KIBRUDEGLI"), ("U. Kibrudegli", "Una Kibrudegli"), ("UNA KIBRUDEGLI", "Una Kibrudegli")]
     assert variant_pairs(frame(spark, [])).count() == 0
     assert classes(spark, ["x" * 50_000 + " long", "a" * 5 + " b"]) != []
+
+
+def all_links(names):
+    """Links of folded names by comparing all with all; no name may hold a quoted nickname."""
+    folded = sorted({folded_name(n) for n in names} - {""})
+    n = Counter(t for f in folded for t in f.split())
+    long = [t for t in n if len(t) >= 5]
+    seen = n + Counter({t: sum(n[o] for o in long if o != t and one_slip(t, o)) for t in long})
+    weight = {t: math.log(1 + len(folded) / seen[t]) for t in n}
+    firsts = {}
+    for first, nicks in NICKNAMES.items():
+        for nick in nicks.split():
+            firsts.setdefault(nick, set()).add(first)
+    return {(a, b) for a, b in itertools.combinations(folded, 2) if soft_similarity(a.split(), b.split(), weight, firsts) >= THRESHOLD}
+
+
+def test_links_of_frequent_surnames_against_all_pairs(spark):
+    rng = random.Random(5)
+    given = "Liam Laim Christopher Chris C. Xavier X. Ted Edward Theodore T. Alexander Isabel Izzy I. Josephine Geoffrey Wolfgang Wolfga".split()
+    common = [f"{''.join(rng.choice('bdfgklmnrtvz') + rng.choice('aeiou') for _ in range(4)).title()} Smith" for _ in range(80)]
+    names = common + [f"{g} {m}{s}" for g in given for s in "Smith Smiht Lindgren".split() for m in ("", rng.choice(["K. ", "Anna ", "Skudru "]))]
+    names += ["Smith", "Smith Geolog Society", "Smith Geological Soc", "Gail Lohanzobu", "L. Ganlilizi"]
+    got = {tuple(r) for r in name_links(spark.createDataFrame([(n,) for n in names], "name string"))[1].collect()}
+    assert got == all_links(names)
+    for pair in (("laim smith", "liam smith"), ("x smith", "xavier smith")):
+        assert pair in got, pair
+
+
+def test_short_slips_and_shortened_words_against_all_pairs(spark):
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(400)})
+    df = spark.createDataFrame([(w,) for w in words], "token string")
+    assert {tuple(r) for r in token_slips(df).collect()} == {(a, b) for a in words for b in words if a != b and mistyped(a, b)}
+    assert {tuple(r) for r in token_shorts(df).collect()} == {(a, b) for a in words for b in words if len(a) > 1 and shortened(a, b)}

@@ -6,11 +6,11 @@ is linked in two steps:
 1. A prefix-filtered set-similarity join on token q-grams finds the tokens one typing slip apart. Grams are put in
    order from rare to common; tokens that share enough grams must share one among their few rarest, at about the same
    place, so only these are joined.
-2. Names meet on a rare token (or one a slip apart) together with a second part: the same word, one a slip apart or
-   the first name of a nickname; or a letter, if one of the two parts is short enough to be an initial or an
-   abbreviation. So a frequent surname doesn't bring all its names together. Each pair is verified by a soft weighted
+2. Names meet on a part (or one a slip apart) together with a second part that is alike in both: equal, a slip apart,
+   abbreviated, a nickname, an initial or the initials of words. No part is too frequent to meet on; a frequent
+   surname doesn't bring all its names together, since the second part must be alike too. Each pair is verified by a soft weighted
    token similarity: parts are aligned as equal, mistyped, abbreviated, initial or nickname, and count by their
-   rarity.
+   rarity. Parts of up to 3 letters are met on only if a name has no longer one.
 
 Linked spellings form classes.
 """
@@ -52,13 +52,11 @@ NICKNAMES = {
 }
 #: Length of grams, and the most grams one slip (letter added, lost, changed, or two swapped) can change.
 GRAM, CHANGED = 4, 5
-#: Shortest token whose slips are searched for.
+#: Shortest token whose slips are searched by grams; slips among those up to this length are found by leaving out a letter.
 SEARCHED = 5
 #: Size of the table of gram counts that all tasks share.
 GRAM_SLOTS = 1 << 16
-#: A token starts a search if at most so many names have it, or at most so many times those of the name's rarest one.
-FLOOR, FACTOR = 64, 8
-#: Parts of at most so many letters may be initials, abbreviations or nicknames.
+#: Parts of at most so many letters may leave out letters inside a word; longer ones abbreviate it only as its beginning.
 BRIEF = 5
 #: Least soft similarity of linked names, and what the kinds of likeness are worth.
 THRESHOLD = 0.85
@@ -118,8 +116,37 @@ def _grams(token: str) -> list[str]:
     return [padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)]
 
 
+def mistyped(a: str, b: str) -> bool:
+    """One slip apart and long enough for that to tell something: four letters with three."""
+    return min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and one_slip(a, b)
+
+
+def shortened(a: str, b: str) -> bool:
+    """Whether ``a`` is ``b`` cut off, or, if brief, ``b`` with letters left out."""
+    if a[0] != b[0] or len(a) >= len(b):
+        return False
+    rest = iter(b)
+    return b.startswith(a) or len(a) <= BRIEF and all(c in rest for c in a)
+
+
+def _short_slips(tokens: DataFrame) -> DataFrame:
+    """(token, other) as ``token_slips``, of tokens up to ``SEARCHED`` letters: such share what is left without one letter."""
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(t, k) for t in batch["token"] for k in {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}], columns=["token", "rest"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[mistyped(a, b) for a, b in zip(batch["token"], batch["other"])]]
+
+    rests = cut(tokens.where(F.length("token").between(3, SEARCHED)).mapInPandas(left, "token string, rest string"))
+    near = rests.join(rests.withColumnRenamed("token", "other"), "rest").where("token <> other").select("token", "other").distinct()
+    return near.mapInPandas(verify, "token string, other string")
+
+
 def token_slips(tokens: DataFrame) -> DataFrame:
-    """(token, other) for all ordered pairs of different tokens one slip apart, from distinct (token)."""
+    """(token, other) for all ordered pairs of different tokens one slip apart, four letters with three or longer, from distinct (token)."""
     spark = tokens.sparkSession
     long = tokens.where(F.length("token") >= SEARCHED)
 
@@ -158,7 +185,36 @@ def token_slips(tokens: DataFrame) -> DataFrame:
             yield batch[[one_slip(a, b) for a, b in zip(batch["token"], batch["other"])]]
 
     half = cut(near.mapInPandas(verify, "token string, other string"))
-    return half.unionByName(half.select(F.col("other").alias("token"), F.col("token").alias("other")))
+    both = half.unionByName(half.select(F.col("other").alias("token"), F.col("token").alias("other")))
+    return cut(both.unionByName(_short_slips(tokens)).distinct())
+
+
+def _heads(token: str) -> set[str]:
+    """The first up to three letters of everything that leaves out letters of ``token`` behind its first."""
+    out, seen = set(), set()
+    pairs: set[str] = set()
+    for c in token[1:]:
+        out.update(token[0] + b + c for b in seen if b + c not in pairs)
+        pairs.update(b + c for b in seen)
+        seen.add(c)
+    return out | {token[0] + c for c in seen}
+
+
+def token_shorts(tokens: DataFrame) -> DataFrame:
+    """(token, other) for all tokens of two or more letters that shorten another one, from distinct (token)."""
+    many = [r.n for r in tokens.select(F.length("token").alias("n")).where(F.col("n") > BRIEF).distinct().collect()]  # one number per length
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(t, k) for t in batch["token"] for k in {*_heads(t), *(t[:n] for n in many if n < len(t))}], columns=["other", "head"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[shortened(a, b) for a, b in zip(batch["token"], batch["other"])]]
+
+    words = tokens.where(F.length("token") > 1)
+    short = words.select("token", F.when(F.length("token") > BRIEF, F.col("token")).otherwise(F.substring("token", 1, 3)).alias("head"))
+    return short.join(words.mapInPandas(heads, "other string, head string"), "head").select("token", "other").mapInPandas(verify, "token string, other string")
 
 
 def _initial(i: int, whole: list[str], j: int, other: list[str]) -> bool:
@@ -184,13 +240,9 @@ def _likeness(i: int, whole_a: list[str], j: int, whole_b: list[str], firsts_a:
         return EQUAL
     if firsts_a & (firsts_b | {b}) or a in firsts_b:
         return NICK
-    if len(b) >= 4 and len(a) >= 3 and one_slip(a, b):
+    if mistyped(a, b):
         return SLIP
-    if a[0] == b[0] and len(a) < len(b):
-        rest = iter(b)
-        if b.startswith(a) or len(a) <= 5 and all(c in rest for c in a):
-            return SHORT
-    return 0.0
+    return SHORT if shortened(a, b) else 0.0
 
 
 def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], firsts: dict[str, set[str]]) -> float:
@@ -198,7 +250,13 @@ def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], firsts
 
     Each part is aligned with one of the other name, best first. Parts weigh by rarity. An initial that only one name
     has is passed over, as middle initials come and go; initials or words left on both sides contradict each other.
+
+    A lone part is like no longer name, and like another lone part only if equal or mistyped. Of longer names
+    one part of two or more letters must be equal or mistyped, unless they hold only initials: abbreviations and
+    nicknames alone make different people alike (Gail Lohanzobu and L. Ganlilizi).
     """
+    if len(a) == 1 or len(b) == 1:
+        return EQUAL if a == b else SLIP if len(a) == len(b) and mistyped(a[0], b[0]) else 0.0
     none: set[str] = set()
     pairs = sorted(
         ((s, weight[x] + weight[y], i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := _likeness(i, a, j, b, firsts.get(x, none), firsts.get(y, none)))),
@@ -206,12 +264,14 @@ def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], firsts
     )
     free_a, free_b = set(range(len(a))), set(range(len(b)))
     got = whole = 0.0
+    firm = not any(len(t) > 1 for t in (*a, *b))
     for s, w, i, j in pairs:
         if i in free_a and j in free_b:
             free_a.discard(i)
             free_b.discard(j)
             got += s * w
             whole += w
+            firm = firm or len(a[i]) > 1 and (a[i] == b[j] or mistyped(a[i], b[j]))
     left_a, left_b = [a[i] for i in sorted(free_a)], [b[j] for j in sorted(free_b)]
     for one, other in ((left_a, left_b), (left_b, left_a)):
         for t in list(one):  # UP: University Press
@@ -223,12 +283,43 @@ def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], firsts
                         other.remove(w)
                     w = weight[t] + sum(weight[x] for x in words)
                     got, whole = got + SHORT * w, whole + w
-    if left_a and left_b:
+    if left_a and left_b or not firm:
         return 0.0
     whole += sum(weight[t] for t in left_a + left_b if len(t) > 1)
     return got / whole if whole else 0.0
 
 
+def _meeting_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(folded, one, two, taken): the pairs of keys a name meets others on, one for each of two different parts.
+
+    A part's own token is a key, and it takes the commoner tokens like it as keys; the first part only those a slip
+    apart. The second part also takes the letters of its initials, and two further parts those of words given by initials. ``taken`` adds 2 if the first key
+    is taken and 1 if the second is; of two like parts at most one has taken the key.
+    """
+    for batch in batches:
+        rows = []
+        for folded, parts in zip(batch["folded"], batch["parts"]):
+            tokens = [p["token"] for p in parts]
+            words = [{t: 0} | dict.fromkeys(() if p["up"] is None else p["up"], 1) for t, p in zip(tokens, parts)]
+            firsts = [[(k, 2 * f) for k, f in own.items() if not f or mistyped(t, k)] for t, own in zip(tokens, words)]
+            if len(tokens) == 1:
+                rows.extend((folded, k, "", f) for k, f in firsts[0])
+                continue
+            keys = []
+            for t, p, own in zip(tokens, parts, words):
+                letters = {} if len(t) == 1 else {x[0]: 1 for x in (t, *(() if p["firsts"] is None else p["firsts"]))}
+                keys.append(letters | own | ({"^" + "".join(sorted(t[:2])): 0} if 2 <= len(t) <= 4 else {}))
+            found = set()
+            for i, t in enumerate(tokens):
+                if len(t) > 3 or all(len(x) <= 3 for x in tokens):
+                    others = [j for j in range(len(tokens)) if j != i]
+                    second = [k for j in others for k in keys[j].items()]
+                    second += {("^" + "".join(sorted(tokens[j][0] + tokens[k][0])), 1) for j in others for k in others if j < k}
+                    found.update((folded, one, two, f + g) for one, f in firsts[i] for two, g in second)
+            rows.extend(found)
+        yield pd.DataFrame(rows, columns=["folded", "one", "two", "taken"])
+
+
 def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(name, folded) per spelling and (a, b) per linked pair of different folded names, from distinct (name)."""
     spellings = cut(names.mapInPandas(_fold_all, FOLDED).where("folded <> ''"))
@@ -238,38 +329,29 @@ def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = cut(parts.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     slips = token_slips(counts.select("token"))
     total = max(1, folded.count())
-    spread = slips.join(counts.withColumnRenamed("token", "other"), "other").groupBy("token").agg(F.sum("n").alias("more"))
+    long = slips.where((F.length("token") >= SEARCHED) & (F.length("other") >= SEARCHED))
+    spread = long.join(counts.withColumnRenamed("token", "other"), "other").groupBy("token").agg(F.sum("n").alias("more"))
     usual = [(nick, first) for first, nicks in NICKNAMES.items() for nick in nicks.split()]
     given = spellings.where("nick is not null").select(F.col("nick").alias("token"), "first").unionByName(spark.createDataFrame(usual, "token string, first string"))
     firsts = given.where("token <> first and length(first) > 1").groupBy("token").agg(F.collect_set("first").alias("firsts"))
-    known = counts.join(spread, "token", "left").join(firsts, "token", "left")
+    nicks = cut(firsts.select("token", F.explode("firsts").alias("first")))
+    swap = lambda df: df.unionByName(df.select(F.col("other").alias("token"), F.col("token").alias("other")))
+    same = nicks.join(nicks.select(F.col("token").alias("other"), "first"), "first").select("token", "other")
+    kin = slips.unionByName(swap(token_shorts(counts.select("token")))).unionByName(same).unionByName(swap(nicks.select("token", F.col("first").alias("other")))).where("token <> other").distinct()
+    ranked = kin.join(counts, "token").join(counts.select(F.col("token").alias("other"), F.col("n").alias("m")), "other")
+    up = ranked.where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") > F.col("token")))).groupBy("token").agg(F.collect_list("other").alias("up"))
+    known = counts.join(spread, "token", "left").join(firsts, "token", "left").join(up, "token", "left")
     seen = F.col("n") + F.coalesce("more", F.lit(0))
     weight = F.log(1 + F.lit(float(total)) / seen)
-    known = cut(known.select("token", seen.alias("seen"), weight.alias("w"), "firsts", (F.col("n") > total * HOT).alias("hot")))
-    part = F.struct("i", "token", "w", "firsts", "seen")
+    known = cut(known.select("token", seen.alias("seen"), weight.alias("w"), "firsts", "up", (F.col("n") > total * HOT).alias("hot")))
+    part = F.struct("i", "token", "w", "firsts", "up")
     whole = cut(lookup(parts, known, ["token"], "hot").groupBy("folded").agg(F.array_sort(F.collect_list(part)).alias("parts")))
 
-    rare = F.expr("array_min(transform(filter(parts, p -> length(p.token) > 3), p -> p.seen))")
-    base = whole.withColumn("__rare", rare)
-    anchors = F.filter("parts", lambda p: (F.length(p["token"]) > 3) & (p["seen"] <= F.greatest(F.lit(FLOOR), F.col("__rare") * FACTOR)))
-    anchored = base.select("folded", "parts", F.explode(F.when(F.size(anchors) > 0, anchors).otherwise(F.col("parts"))).alias("at"))
-    others = F.filter("parts", lambda p: p["i"] != F.col("at.i"))
-    second = cut(anchored.select("folded", F.col("at.token").alias("token"), F.explode_outer(others).alias("o")).select("folded", "token", F.coalesce("o.token", F.lit("")).alias("part"), F.col("o.firsts").alias("firsts"), F.col("o.seen").alias("n")))
-    # Of two parts a slip apart the rarer one takes the key of the commoner, so a common first name takes no others.
-    ranked = slips.join(counts, "token").join(counts.select(F.col("token").alias("other"), F.col("n").alias("m")), "other")
-    upward = ranked.where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") > F.col("token")))).groupBy("token").agg(F.collect_list("other").alias("up"))
-    words = second.select("folded", "token", "part", "firsts").join(upward.withColumnRenamed("token", "part"), "part", "left")
-    none = F.array().cast("array<string>")
-    words = words.select("folded", "token", F.explode(F.array_distinct(F.concat(F.array("part"), F.coalesce("up", none), F.coalesce("firsts", none)))).alias("key"))
-    letters = F.concat(F.array(F.substring("part", 1, 1), F.substring("part", 2, 1)), F.transform(F.coalesce("firsts", none), lambda f: F.substring(f, 1, 1)))
-    letters = second.select("folded", "token", (F.length("part") <= BRIEF).alias("brief"), F.explode(F.array_distinct(letters)).alias("key")).where("key <> ''")
-    keyed = cut(words.withColumn("brief", F.lit(None).cast("boolean")).unionByName(letters).distinct())
-    reach = keyed.unionByName(keyed.join(slips, "token").select("folded", F.col("other").alias("token"), "key", "brief")).select(F.col("folded").alias("a"), "token", "key", F.col("brief").alias("__a")).distinct()
-    met = lambda left, right: left.join(right, ["token", "key"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    names_at = keyed.select(F.col("folded").alias("b"), "token", "key", "brief")
-    by_word = met(reach.where("__a is null"), names_at.where("brief is null"))
-    by_letter = met(reach.where("__a"), names_at.where("brief is not null")).unionByName(met(reach.where("not __a"), names_at.where("brief")))
-    pairs = by_word.unionByName(by_letter).distinct()
+    keyed = cut(whole.select("folded", F.expr("transform(parts, p -> struct(p.token, p.firsts, p.up))").alias("parts")).mapInPandas(_meeting_keys, "folded string, one string, two string, taken int"))
+    met = lambda left, right: left.select(F.col("folded").alias("a"), "one", "two").join(right.select(F.col("folded").alias("b"), "one", "two"), ["one", "two"])
+    # Of two parts that are alike one is the key and the other takes it, so a common first name takes no others.
+    pairs = met(keyed, keyed.where("taken = 0")).unionByName(met(keyed.where("taken = 2"), keyed.where("taken = 1")))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = whole.select("folded", F.expr("transform(parts, p -> struct(p.token, p.w, p.firsts))").alias("parts"))
     pairs = pairs.join(full.select(F.col("folded").alias("a"), F.col("parts").alias("pa")), "a").join(full.select(F.col("folded").alias("b"), F.col("parts").alias("pb")), "b")
 
@@ -295,8 +377,7 @@ def variant_classes(names: DataFrame, column: str = "name") -> DataFrame:
     The class is named by its least folded name; a spelling without variants is alone in its class.
 
     Defined cases: null, blank and wordless names, and such that name nobody, are in no class. Repeated names count
-    once. Other columns are never read. Tokens shorter than ``SEARCHED`` start no search for slips, but are compared
-    with slips once two names meet on another part. Without names there are no rows.
+    once. Other columns are never read. Without names there are no rows.
     """
     one = names.select(F.col(column).cast("string").alias("name")).where("name is not null").distinct()
     spellings, links = name_links(one)
