@@ -7,10 +7,10 @@ is linked in two steps:
    order from rare to common; tokens that share enough grams must share one among their few rarest, at about the same
    place, so only these are joined.
 2. Names meet on a part (or one a slip apart) together with a second part that is alike in both: equal, a slip apart,
-   abbreviated, a nickname, an initial or the initials of words. No part is too frequent to meet on; a frequent
-   surname doesn't bring all its names together, since the second part must be alike too. Each pair is verified by a soft weighted
+   abbreviated, a nickname, an initial or the initials of words. No part is too frequent or too short to meet on; a
+   frequent surname doesn't bring all its names together, since the second part must be alike too. Each pair is verified by a soft weighted
    token similarity: parts are aligned as equal, mistyped, abbreviated, initial or nickname, and count by their
-   rarity. Parts of up to 3 letters are met on only if a name has no longer one.
+   rarity. The search misses no pair that the similarity accepts.
 
 Linked spellings form classes.
 """
@@ -311,7 +311,7 @@ def _meeting_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keys.append(letters | own | ({"^" + "".join(sorted(t[:2])): 0} if 2 <= len(t) <= 4 else {}))
             found = set()
             for i, t in enumerate(tokens):
-                if len(t) > 3 or all(len(x) <= 3 for x in tokens):
+                if len(t) > 1 or all(len(x) == 1 for x in tokens):
                     others = [j for j in range(len(tokens)) if j != i]
                     second = [k for j in others for k in keys[j].items()]
                     second += {("^" + "".join(sorted(tokens[j][0] + tokens[k][0])), 1) for j in others for k in others if j < k}
