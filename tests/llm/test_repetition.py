@@ -44,3 +44,8 @@ def test_whole_table(spark):
     got = {r.doc_id: r.repeated_share for r in measure(df).collect()}
     assert got[3] == got[4] == got[2] == 0 and len(got) == 5
     assert measure(df.limit(0)).count() == 0
+
+
+def test_places_between_the_first_and_the_last_are_followed():
+    lead, a, b, c = "as we said".split(), *([f"{x}{i}" for i in range(10)] for x in "abc")
+    assert repeated_words(lead + a + lead + b + lead + c + lead + b) == 13

@@ -38,39 +38,38 @@ def repeated_words(words: list[str], seed: int = SEED, least: int = LEAST, chang
 
     From left to right the longest earlier stretch that goes on here is followed, stepping over at most ``changed``
     unlike words on either side if ``seed`` like words come after them. A passage of ``least`` or more words counts
-    with the changed words in it. The earlier places of a sequence are kept newest last and looked up from the newest
-    and from the first, which are enough to follow copies of copies.
+    with the changed words in it. All earlier places of a sequence are tried, up to one from which the rest of the text
+    is followed; so a long text that opens very many unlike sentences alike takes time as the square of their number.
     """
     n = len(words)
     if n < least + 1:
         return 0
     grams: list[tuple[str, ...]] = [tuple(words[i : i + seed]) for i in range(n - seed + 1)]
-    first: dict[tuple[str, ...], int] = {}
-    last: dict[tuple[str, ...], int] = {}
+    places: dict[tuple[str, ...], list[int]] = {}
+    steps = _steps(changed)
     total = i = 0
     noted = 0
     while i < len(grams):
         while noted < i:
-            first.setdefault(grams[noted], noted)
-            last[grams[noted]] = noted
+            places.setdefault(grams[noted], []).append(noted)
             noted += 1
         best = 0
-        for j in {first.get(grams[i], -1), last.get(grams[i], -1)}:
-            if j < 0:
-                continue
+        for j in places.get(grams[i], ()):
             a, b, end = j + seed, i + seed, i + seed
             while b < n:
                 if words[a] == words[b]:
                     a, b = a + 1, b + 1
                     end = b
                     continue
-                for x, y in _steps(changed):
+                for x, y in steps:
                     if b + y + seed <= n and a + x + seed <= b + y and words[a + x : a + x + seed] == words[b + y : b + y + seed]:
                         a, b = a + x, b + y
                         break
                 else:
                     break
             best = max(best, end - i)
+            if end == n:
+                break
         if best >= least:
             total += best
             i += best
