@@ -1,6 +1,7 @@
 import random
 
 from trigraph.llm.repetition import LEAST, measure, normal_words, repeated_words, self_repeating
+from trigraph.llm.text import words_of
 
 UNIQUE = "the quick brown fox jumps over a lazy dog while seven wise owls watch from their old oak tree near our village pond".split()
 
@@ -49,3 +50,9 @@ def test_whole_table(spark):
 def test_places_between_the_first_and_the_last_are_followed():
     lead, a, b, c = "as we said".split(), *([f"{x}{i}" for i in range(10)] for x in "abc")
     assert repeated_words(lead + a + lead + b + lead + c + lead + b) == 13
+
+
+def test_only_tags_are_markup():
+    assert words_of("[I quote from the test: one two] [list of three] a <b and\n> c") == "i quote from the test one two list of three a b and c".split()
+    tags = '[b]x[/b] [quote=Al Bo, post: 1]y[/quote] [quote author=Al Bo date=3]z[/quote] [img width=3]http://a/b[/img] [hr /] <br/> <a href="u"\n title="v w">q</a>'
+    assert words_of(tags) == ["x", "y", "z", "q"]

@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 from array import array
 
+#: What may follow the word of a tag in brackets; anything else makes it ordinary text.
+_REST = r"(?:\s*=[^\[\]]{0,500}|\s+[\w-]{1,30}=[^\[\]]{0,500}|\s*/?)\]"
 #: Markup is blanked to the same length, so that places in the blanked text are places in the original.
 _MARKUP = re.compile(
     r"<!--.{0,2000}?-->"
     r"|<(?:script|style)\b[^<>]{0,2000}>.{0,20000}?</(?:script|style)\s*>"
-    r"|</?[A-Za-z][^<>]{0,2000}>"
-    r"|\[(?P<b>img|video|media)\b[^\[\]]{0,500}\][^\[\]]{0,2000}\[/(?P=b)\]"
-    r"|\[/?(?:b|i|u|s|quote|code|url|img|size|color|colour|list|li|center|spoiler|hr|\*)\b[^\[\]]{0,500}\]"
+    r"|</?[A-Za-z][^<>\r\n]{0,2000}>"
+    r"|</?[A-Za-z][\w:-]{0,30}(?:\s{1,200}[\w:-]{1,50}=(?:\"[^\"<>]{0,2000}\"|'[^'<>]{0,2000}')){0,30}\s{0,200}/?>"
+    r"|\[(?P<b>img|video|media)" + _REST + r"[^\[\]]{0,2000}\[/(?P=b)\]"
+    r"|\[/?(?:b|i|u|s|quote|code|url|img|size|color|colour|list|li|center|spoiler|hr|\*)" + _REST +
     r"|&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
     r"|\bhttps?://[^\s\[\]<>\"]{0,2000}",
     re.S | re.I,
