@@ -89,3 +89,12 @@ def test_boards_with_a_tokenizer(spark):
     mix = mix_boards(docs, targets(spark, [("a b", 1.0, 1)]), "/opt/tokenizers/byte_bpe_50k.json")
     got = {r.doc_id: r.tokens for r in mix.rows.collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] >= 50_000 and 4 not in got
+
+
+def test_the_mix_query_varies_weights_over_time(monkeypatch):
+    from trigraph.llm import queries
+
+    passed = []
+    monkeypatch.setattr(queries, "_mix", lambda spark, sf_dir, **rules: passed.append(rules) or type("M", (), {"rows": None}))
+    queries.p7_mix(None, "")
+    assert any(len({w for _, w in steps}) > 1 for steps in passed[0]["schedules"].values())
