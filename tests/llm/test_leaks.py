@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from trigraph.llm.leaks import Items, find_leaks, stock_wording
+from trigraph.llm.leaks import Items, find_leaks, prepared_items
+from trigraph.llm.text import words_of
 
 STOCK = "read the passage below and choose the best answer"
 
@@ -75,17 +76,37 @@ def test_blocks_repeats_and_empty_sides(spark, items):
 
 def test_hits_are_all_phrase_places(items):
     rng = random.Random(9)
-    known = Items(items, *stock_wording(items))
+    opening = len(STOCK.split())
+    known = Items([(i, words_of(t), opening) for i, t in items], share=0.1)
     pool = [w for _, t in items[:3] for w in t.lower().replace("?", "").replace(".", "").split()]
     for _ in range(50):
         at = rng.randrange(len(pool) - 20)
         words = pool[at : at + rng.randint(0, 20)] + rng.sample(pool, 10)
         got = {(i, a, b) for i, hs in known.hits(words).items() for a, b in hs}
-        want = {
-            (i, a, b)
-            for i, w in known.words.items()
-            for a in range(len(words) - 2)
-            for b in range(len(w) - 2)
-            if words[a : a + 3] == w[b : b + 3] and all(known.counted[i][b : b + 3])
-        }
+        want = {(i, a, b) for i, w in enumerate(known.words) for a in range(len(words) - 2) for b in range(opening, len(w) - 2) if words[a : a + 3] == w[b : b + 3]}
         assert got == want
+
+
+def opening_words(spark, items):
+    return {r.item_id: r.opening for r in prepared_items(frame(spark, [], items)[1]).collect()}
+
+
+def test_stock_openings_of_any_length(spark, items):
+    assert set(opening_words(spark, items).values()) == {len(STOCK.split())}
+    rng = random.Random(2)
+    long = " ".join(f"w{k}" for k in range(72))
+    own = [(i, f"{long} " + " ".join(rng.choice("abcdefgh") + str(rng.randrange(10_000)) for _ in range(4))) for i in range(6)]
+    assert set(opening_words(spark, own).values()) == {72}
+    docs = [(1, long), (2, own[2][1]), (3, f"{long} and more"), (4, "so it says: " + own[4][1].split("w71 ")[1])]
+    assert set(leaks(spark, docs, own)) == {(2, 2), (4, 4)}
+
+
+@pytest.mark.parametrize("n", [3, 5, 50])
+@pytest.mark.parametrize("at", [20, 45, 59])
+def test_items_unlike_in_a_word_hide_nothing(spark, items, n, at):
+    body = items[0][1].split(". ")[1].rstrip("?").lower().split()
+    alike = [(i, " ".join([*body[:at], f"other{i}x", *body[at + 1 :]])) for i in range(n)]
+    shared = " ".join([*body[:at], "nothing", *body[at + 1 :]])
+    found = leaks(spark, [(1, f"see this {shared} so"), (2, alike[1][1]), (3, " ".join(body[:15]))], [*alike, *items[5:9]])
+    assert {k for d, k in found if d == 1} == set(range(n)) == {k for d, k in found if d == 2} and not any(d == 3 for d, _ in found)
+    assert min(r.share for r in found.values()) > 0.9

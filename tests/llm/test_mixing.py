@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trigraph.llm.mixing import _knots, allot, due_time, mix_boards, mix_sources
+from trigraph.llm.mixing import FEASIBLE, _knots, allot, due_time, feasible_total, mix_boards, mix_sources
 
 FLAT = [(0.0, 1.0), (1.0, 1.0)]
 
@@ -24,13 +24,26 @@ def test_allot():
     assert allot({}, {}, {}, 5) == {}
 
 
+def test_the_largest_feasible_mix_meets_all_shares(spark):
+    assert feasible_total({"a": 0.5, "b": 0.5}, {"a": 10, "b": 100}, {"a": 3, "b": 1}) == 60
+    assert feasible_total({"a": 0.5, "b": 0.5}, {"a": 10}, {"a": 3, "b": 1}) == feasible_total({}, {}, {}) == 0
+    rows = [(i, "abc"[i % 3], 1 + i % 7) for i in range(3000)] + [(9000 + i, "d", 3) for i in range(40)]
+    mix = mix_sources(sizes(spark, rows), targets(spark, [("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.3, 1), ("d", 0.1, 2)]), FEASIBLE)
+    report = {r.source: r for r in mix.report.collect()}
+    assert all(r.feasible_tokens == 2400 and abs(r.actual_share - r.target_share) < 0.01 for r in report.values())
+    assert report["d"].mix_tokens == 240
+
+
 def test_shares_repeats_and_order(spark):
     rng = random.Random(1)
     rows = [(i, "big", rng.randint(1, 50)) for i in range(3000)] + [(10_000 + i, "small", rng.randint(1, 50)) for i in range(300)] + [(20_000 + i, "tiny", 10) for i in range(5)] + [(30_000, "other", 10), (30_001, "big", 0)]
     t = targets(spark, [("Big ", 0.6, 1), ("small", 0.3, 4), ("tiny", 0.1, 3), ("gone", 0.0, 1), (None, 0.5, 1)])
     mix = mix_sources(sizes(spark, rows), t, total_tokens=40_000)
     got = mix.rows.collect()
-    assert sorted(r.position for r in got) == list(range(len(got)))
+    before = 0
+    for r in sorted(got, key=lambda r: (r.position, r.due, r.source, r.doc_id)):
+        assert r.position == before
+        before += r.tokens
     assert [r.due for r in sorted(got, key=lambda r: r.position)] == sorted(r.due for r in got)
     assert len({(r.doc_id, r.copy) for r in got}) == len(got)
     per = {}
@@ -97,4 +110,5 @@ def test_the_mix_query_varies_weights_over_time(monkeypatch):
     passed = []
     monkeypatch.setattr(queries, "_mix", lambda spark, sf_dir, **rules: passed.append(rules) or type("M", (), {"rows": None}))
     queries.p7_mix(None, "")
+    assert passed[0]["total_tokens"] == FEASIBLE
     assert any(len({w for _, w in steps}) > 1 for steps in passed[0]["schedules"].values())

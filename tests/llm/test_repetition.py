@@ -1,6 +1,11 @@
+import glob
 import random
 
-from trigraph.llm.repetition import LEAST, measure, normal_words, repeated_words, self_repeating
+import numpy as np
+import pytest
+
+from trigraph.llm.hashed import BUCKETS, SIZE, WORD_GRAMS, entries, fit, varied
+from trigraph.llm.repetition import LEAST, LIKELY, POSSIBLE, _invented, measure, normal_words, repeated_words, repeats, repetition_grades, self_repeating
 from trigraph.llm.text import words_of
 
 UNIQUE = "the quick brown fox jumps over a lazy dog while seven wise owls watch from their old oak tree near our village pond".split()
@@ -56,3 +61,54 @@ def test_only_tags_are_markup():
     assert words_of("[I quote from the test: one two] [list of three] a <b and\n> c") == "i quote from the test one two list of three a b and c".split()
     tags = '[b]x[/b] [quote=Al Bo, post: 1]y[/quote] [quote author=Al Bo date=3]z[/quote] [img width=3]http://a/b[/img] [hr /] <br/> <a href="u"\n title="v w">q</a>'
     assert words_of(tags) == ["x", "y", "z", "q"]
+
+
+def test_markup_of_any_length():
+    hidden = "a word " * 60_000
+    for text in (f"<!--{hidden}-->x y", f"<script>{hidden}</script >x y", f"<b {hidden}>x y", f"[quote={hidden}]x y", f"<a t='{hidden}'\n/>x y", f"http://{'u' * 50_000} x y"):
+        assert words_of(text) == ["x", "y"]
+    assert words_of("<!-- a <style> b") == ["a", "b"] and words_of("<style>a<!--b</style>c-->") == ["c"]
+    assert len(words_of("<!--" * 100_000 + "<script>" * 100_000)) == 0
+
+
+def test_hashed_entries_against_a_plain_count():
+    texts = ["a b c a b c d".split(), [], ["x"], "a b".split()]
+    row, bucket, value = entries(texts)
+    x = np.zeros((len(texts), SIZE))
+    np.add.at(x, (row, bucket), value)
+    for t, words in enumerate(texts):
+        for k, n in enumerate(WORD_GRAMS):
+            grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+            again = sum(g in grams[:i] for i, g in enumerate(grams))
+            assert x[t, BUCKETS + k] == pytest.approx(again / max(1, len(grams)))
+        letters = " ".join(words)
+        grams = [letters[i : i + 8] for i in range(len(letters) - 7)]
+        assert x[t, BUCKETS + len(WORD_GRAMS)] == pytest.approx(sum(g in grams[:i] for i, g in enumerate(grams)) / max(1, len(grams)))
+        assert x[t, -1] == 1
+
+
+def labelled(texts, seed):
+    rows, labels = varied(texts, repeats, seed)
+    return rows, np.array(labels)
+
+
+def test_classifier_on_held_out_rows():
+    texts = _invented(300)
+    model = fit(*labelled(texts[:200], 1))
+    rows, labels = labelled(texts[200:], 2)
+    p = model.probabilities(rows)
+    assert (p[labels] >= POSSIBLE).all() and (labels == (p >= LIKELY)).mean() > 0.95
+    for lo, hi in ((0.0, 0.2), (0.8, 1.0)):  # calibrated
+        held = (p >= lo) & (p <= hi)
+        assert abs(labels[held].mean() - p[held].mean()) < 0.07
+    assert (model.probabilities(rows[:1]) == p[:1]).all() and len(model.probabilities([])) == 0
+
+
+@pytest.mark.skipif(not glob.glob("/root/testdata/sf0.01/documents.parquet"), reason="no test tables here")
+def test_the_classifier_loses_no_post(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id for r in measure(docs).where("repeated_share >= 0.3").collect()}
+    assert {r.doc_id for r in self_repeating(docs).collect()} == want and want
+    grades = repetition_grades(docs).collect()
+    assert len(grades) == docs.count() and want <= {r.doc_id for r in grades if r.grade != "no"}
+    assert len({r.doc_id for r in grades if r.grade == "likely"} ^ want) <= 3

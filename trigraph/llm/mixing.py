@@ -22,6 +22,8 @@ from trigraph.functions.ranks import running_total
 GROUP = 20_000
 #: Sources a mix may have; their totals are held by the driver.
 MOST_SOURCES = 10_000
+#: As a mix's size: the largest that meets all target shares.
+FEASIBLE = "feasible"
 
 SIZES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType())])
 
@@ -69,6 +71,12 @@ def allot(shares: Mapping[str, float], sizes: Mapping[str, int], repeats: Mappin
     return given
 
 
+def feasible_total(shares: Mapping[str, float], sizes: Mapping[str, int], repeats: Mapping[str, int]) -> float:
+    """Tokens of the largest mix in which every source can deliver its share within its repeats."""
+    whole = sum(shares.values())
+    return min((sizes.get(s, 0) * repeats[s] * whole / share for s, share in shares.items() if share > 0), default=0.0)
+
+
 def due_time(delivered: Column, knots: Column) -> Column:
     """The time at which the integral of a piecewise linear schedule reaches the part ``delivered`` (0 to 1).
 
@@ -108,16 +116,18 @@ class Mix:
 def mix_sources(
     sizes: DataFrame,
     targets: DataFrame,
-    total_tokens: int | None = None,
+    total_tokens: int | str | None = None,
     schedules: Mapping[str, Sequence[tuple[float, float]]] | None = None,
     seed: int = 17,
 ) -> Mix:
     """Mixes documents (doc_id, source, tokens) to ``targets`` (source, target_share, max_repeats).
 
-    ``total_tokens`` is the size of the mix, by default that of the targeted sources. ``schedules`` has points
-    (time, weight) of a source's piecewise linear weight, flat by default; a schedule moves a source's tokens in time
-    and leaves its total as it is. Rows: doc_id, copy (from 0), source, tokens, due (training time), position (from
-    0). Report: source, target_share, actual_share, mix_tokens, source_tokens, mix_rows, max_repeats.
+    ``total_tokens`` is the size of the mix, by default that of the targeted sources; ``FEASIBLE`` is the largest
+    that meets all shares. ``schedules`` has points (time, weight) of a source's piecewise linear weight, flat by
+    default; a schedule moves a source's tokens in time and leaves its total as it is. Rows: doc_id, copy (from 0),
+    source, tokens, due (training time), position (tokens that come before). Report: source, target_share,
+    actual_share, mix_tokens, source_tokens, mix_rows, max_repeats, feasible_tokens (size of the largest mix that
+    meets all shares).
 
     A pass over a source is put in order by a hash of document and pass. Running totals are taken per hash range,
     range totals are summed per source, so that a source holding most documents is spread over many tasks.
@@ -135,7 +145,9 @@ def mix_sources(
     repeats = {r.source: max(0, r.max_repeats) for r in named}
     aimed = sizes.where(F.col("source").isin(list(shares))) if shares else sizes.where("false")
     held = {r.source: (r.t or 0, r.n) for r in aimed.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
-    given = allot(shares, {s: t for s, (t, _) in held.items()}, repeats, sum(t for t, _ in held.values()) if total_tokens is None else total_tokens)
+    has = {s: t for s, (t, _) in held.items()}
+    most = feasible_total(shares, has, repeats)
+    given = allot(shares, has, repeats, sum(has.values()) if total_tokens is None else most if total_tokens == FEASIBLE else total_tokens)
 
     plan = []
     for s, g in given.items():
@@ -158,12 +170,12 @@ def mix_sources(
     middle = F.col("__offset") + F.col("__in") + F.col("tokens") / 2
     kept = placed.withColumn("__m", middle).where(F.col("__m") <= F.col("give"))
     due = due_time(F.col("__m") / F.col("give"), F.col("knots"))
-    rows = running_total(kept.select("doc_id", "copy", "source", "tokens", due.alias("due")), [F.col("due"), F.col("source"), F.col("doc_id"), F.col("copy")], None, "position")
+    rows = running_total(kept.select("doc_id", "copy", "source", "tokens", due.alias("due")), [F.col("due"), F.col("source"), F.col("doc_id"), F.col("copy")], F.col("tokens"), "position")
     got = rows.groupBy("source").agg(F.sum("tokens").alias("mix_tokens"), F.count(F.lit(1)).alias("mix_rows"))
     base = [(s, shares[s], repeats[s], held.get(s, (0, 0))[0]) for s in shares]
     report = spark.createDataFrame(base, "source string, target_share double, max_repeats int, source_tokens long").join(F.broadcast(got), "source", "left").fillna(0, ["mix_tokens", "mix_rows"])
     whole = F.sum("mix_tokens").over(Window.partitionBy())
-    report = report.select("source", "target_share", F.when(whole > 0, F.col("mix_tokens") / whole).otherwise(0.0).alias("actual_share"), "mix_tokens", "source_tokens", "mix_rows", "max_repeats")
+    report = report.select("source", "target_share", F.when(whole > 0, F.col("mix_tokens") / whole).otherwise(0.0).alias("actual_share"), "mix_tokens", "source_tokens", "mix_rows", "max_repeats", F.floor(F.lit(float(most))).cast("bigint").alias("feasible_tokens"))
     return Mix(rows, report)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from trigraph.llm.leaks import find_leaks
 from trigraph.llm.leximin import rank_books
-from trigraph.llm.mixing import Mix, mix_boards
-from trigraph.llm.repetition import measure, self_repeating
+from trigraph.llm.mixing import FEASIBLE, Mix, mix_boards
+from trigraph.llm.repetition import measure, repetition_grades, self_repeating
 from trigraph.llm.variants import author_names, variant_classes, variant_pairs
 
 #: A public tokenizer's vocabulary, read where it is installed; a session's ``spark.trigraph.tokenizer`` names another.
@@ -58,15 +58,22 @@ def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir, schedules=RAMPS).rows
+    """The largest mix in which every board has its target share."""
+    return _mix(spark, sf_dir, schedules=RAMPS, total_tokens=FEASIBLE).rows
 
 
 def p7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as all boards together; boards that are too small for it are used as often as they may be."""
     return _mix(spark, sf_dir, schedules=RAMPS).rows
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir).report
+    """The shares that p7_mix reaches."""
+    return _mix(spark, sf_dir, schedules=RAMPS, total_tokens=FEASIBLE).report
+
+
+def p7_curriculum_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, schedules=RAMPS).report
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +84,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(read(spark, sf_dir, "documents"))
 
 
+def p8_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the classifier alone says of each post."""
+    return repetition_grades(read(spark, sf_dir, "documents")).select("doc_id", F.round("probability", 3).alias("probability"), "grade")
+
+
 QUERIES = {
     "p2_leximin": p2_leximin,
     "p2_by_grade": p2_by_grade,
@@ -87,8 +99,10 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_curriculum": p7_curriculum,
     "p7_shares": p7_shares,
+    "p7_curriculum_shares": p7_curriculum_shares,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
+    "p8_grades": p8_grades,
 }
 
 _LEXIMIN = """WITH b AS (SELECT book_id, max({'t': loaded_at, 'a': average_rating, 'r': ratings_count, 'w': work_text_reviews_count}) AS b

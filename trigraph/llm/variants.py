@@ -20,14 +20,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trigraph.functions.lineage import cut
+from trigraph.functions.lineage import cut, stored_rows
 from trigraph.functions.skew import components, lookup
 from trigraph.operators.packed import packed_values
 
@@ -35,7 +35,7 @@ from trigraph.operators.packed import packed_values
 NOBODY = ("anonymous", "various")
 #: Titles, suffixes, roles and joining words: no part of a name.
 EMPTY_WORDS = frozenset("dr prof professor mr mrs ms miss sir dame rev phd md dds esq jr sr ii iii iv ed eds editor trans translator illus the and of".split())
-#: Usual short forms of first names. Those that a spelling itself gives in quotation marks are added to them.
+#: Usual short forms of first names, the default of a parameter. Those that a spelling itself gives in quotation marks are added to them.
 NICKNAMES = {
     "abigail": "abbie abby gail", "alexander": "alex sandy xander", "andrew": "andy drew", "anthony": "tony", "beatriz": "bea",
     "benjamin": "ben", "catherine": "cathy kate", "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny",
@@ -61,7 +61,7 @@ BRIEF = 5
 #: Least soft similarity of linked names, and what the kinds of likeness are worth.
 THRESHOLD = 0.85
 EQUAL, SLIP, NICK, INITIAL, SHORT = 1.0, 0.95, 0.95, 0.95, 0.95
-#: Part of all names from which on a token is hot.
+#: Part of all names' parts from which on a token is hot; so there are fewer than 1 / HOT.
 HOT = 1e-3
 
 _quoted = re.compile(r"[\"“«‘'](\w{2,})[\"”»’']")
@@ -320,8 +320,11 @@ def _meeting_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["folded", "one", "two", "taken"])
 
 
-def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(name, folded) per spelling and (a, b) per linked pair of different folded names, from distinct (name)."""
+def name_links(names: DataFrame, nicknames: Mapping[str, str] = NICKNAMES) -> tuple[DataFrame, DataFrame]:
+    """(name, folded) per spelling and (a, b) per linked pair of different folded names, from distinct (name).
+
+    ``nicknames`` has a first name's short forms, parted by blanks.
+    """
     spellings = cut(names.mapInPandas(_fold_all, FOLDED).where("folded <> ''"))
     spark = names.sparkSession
     folded = spellings.select("folded").distinct()
@@ -331,7 +334,7 @@ def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = max(1, folded.count())
     long = slips.where((F.length("token") >= SEARCHED) & (F.length("other") >= SEARCHED))
     spread = long.join(counts.withColumnRenamed("token", "other"), "other").groupBy("token").agg(F.sum("n").alias("more"))
-    usual = [(nick, first) for first, nicks in NICKNAMES.items() for nick in nicks.split()]
+    usual = [(nick, first) for first, nicks in nicknames.items() for nick in nicks.split()]
     given = spellings.where("nick is not null").select(F.col("nick").alias("token"), "first").unionByName(spark.createDataFrame(usual, "token string, first string"))
     firsts = given.where("token <> first and length(first) > 1").groupBy("token").agg(F.collect_set("first").alias("firsts"))
     nicks = cut(firsts.select("token", F.explode("firsts").alias("first")))
@@ -343,7 +346,7 @@ def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = counts.join(spread, "token", "left").join(firsts, "token", "left").join(up, "token", "left")
     seen = F.col("n") + F.coalesce("more", F.lit(0))
     weight = F.log(1 + F.lit(float(total)) / seen)
-    known = cut(known.select("token", seen.alias("seen"), weight.alias("w"), "firsts", "up", (F.col("n") > total * HOT).alias("hot")))
+    known = cut(known.select("token", seen.alias("seen"), weight.alias("w"), "firsts", "up", (F.col("n") > stored_rows(parts) * HOT).alias("hot")))
     part = F.struct("i", "token", "w", "firsts", "up")
     whole = cut(lookup(parts, known, ["token"], "hot").groupBy("folded").agg(F.array_sort(F.collect_list(part)).alias("parts")))
 
@@ -371,7 +374,7 @@ def name_links(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spellings.select("name", "folded"), links
 
 
-def variant_classes(names: DataFrame, column: str = "name") -> DataFrame:
+def variant_classes(names: DataFrame, column: str = "name", nicknames: Mapping[str, str] = NICKNAMES) -> DataFrame:
     """(name, class, links): each spelling, the class it belongs to, and how many folded names it is linked with.
 
     The class is named by its least folded name; a spelling without variants is alone in its class.
@@ -380,7 +383,7 @@ def variant_classes(names: DataFrame, column: str = "name") -> DataFrame:
     once. Other columns are never read. Without names there are no rows.
     """
     one = names.select(F.col(column).cast("string").alias("name")).where("name is not null").distinct()
-    spellings, links = name_links(one)
+    spellings, links = name_links(one, nicknames)
     spellings = spellings.where(~F.col("folded").isin(*NOBODY))
     links = links.where(~F.col("a").isin(*NOBODY) & ~F.col("b").isin(*NOBODY))
     found = components(links)
@@ -390,9 +393,9 @@ def variant_classes(names: DataFrame, column: str = "name") -> DataFrame:
     return out.select("name", F.coalesce("component", "folded").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-def variant_pairs(names: DataFrame, column: str = "name") -> DataFrame:
+def variant_pairs(names: DataFrame, column: str = "name", nicknames: Mapping[str, str] = NICKNAMES) -> DataFrame:
     """(name_a, name_b) for every two different spellings of one class, ``name_a`` < ``name_b``."""
-    classes = cut(variant_classes(names, column).select("name", "class"))
+    classes = cut(variant_classes(names, column, nicknames).select("name", "class"))
     a, b = classes.select(F.col("name").alias("name_a"), "class"), classes.select(F.col("name").alias("name_b"), "class")
     return a.join(b, "class").where("name_a < name_b").select("name_a", "name_b")
 
