@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from trigraph.operators.eager import Measure, chain_breaks, eager_join_aggregate
+from trigraph.operators.eager import Measure, _carried, chain_breaks, eager_join_aggregate
 
 SCHEMA = "rec_key string, store_position long, value_link long, __k string, note string"
 
@@ -44,7 +44,8 @@ def test_chain_breaks_against_brute_force(spark, width):
         last[k] = p
     rows += rng.sample(rows, 40)
     rows += [("a", None, 3), (None, 4, 5), ("b", 10, 3)]
-    assert found(chain_breaks(frame(spark, rows), block_width=width)) == brute(rows)
+    for blocks in (1, 3, 1 << 13):
+        assert found(chain_breaks(frame(spark, rows), block_width=width, blocks=blocks)) == brute(rows)
 
 
 def test_chain_breaks_edge_cases(spark):
@@ -75,6 +76,23 @@ def test_eager_join_matches_plain_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
 
+def test_products_of_counts_and_sums_outgrow_64_bits(spark):
+    big = spark.range(1000).select(F.lit("h").alias("k"), F.lit((1 << 62)).alias("x"))
+    r = eager_join_aggregate(big, big.withColumnRenamed("x", "y"), ["k"], [Measure("sx", "sum", "x")], [Measure("ay", "avg", "y")]).first()
+    assert r.pairs == 1_000_000 and int(r.sx) == (1 << 62) * 1_000_000 and r.ay == float(1 << 62)
+
+
+def test_no_window_group_grows_with_the_blocks_of_a_hub(spark):
+    def largest(n):
+        """Most states that meet in one window group, of a hub with ``n`` blocks."""
+        states = spark.range(n).select(F.lit("h").alias("__k"), F.col("id").alias("__b"), F.col("id").alias("__last"), F.lit(1).alias("__links"))
+        got = {r["__b"]: r["__carry"] for r in _carried(states, 8).collect()}
+        assert got == {b: b - 1 if b else None for b in range(n)}
+        return states.groupBy("__k", F.floor(F.col("__b") / 8)).count().agg(F.max("count")).first()[0]
+
+    assert largest(16) == largest(64) == 8
+
+
 def test_eager_left_join_and_rollup(spark):
     left = spark.createDataFrame([("a/1", 1), ("a/2", 2), ("b/1", 5), ("a/1", 4), (None, 9)], "k string, x long")
     right = spark.createDataFrame([("a/1", 10), ("a/1", 20)], "k string, y long")

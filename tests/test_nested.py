@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from trigraph.operators.nested import flatten, parse, visit
+from trigraph.operators.nested import WHOLE_PEOPLE, Field, Shape, flatten, parse, visit
 
 SCHEMA = "raw_id long, doc_json string, loaded_at timestamp_ntz, pk string, parent string"
 
@@ -39,6 +39,25 @@ def test_shapes(spark):
     )
 
 
+def test_typed_tables_of_other_shapes(spark):
+    doc = {
+        "name": "a", "colors": ["red", None, ["blue"], {"x": "no"}], "location": {"city": "x", "country": "y", "geo": {"lat": 1.5, "lon": "east"}},
+        "contact": [{"email": "e@x", "phone": 1}], "friends": ["bo", {"location": "z", "colors": "green", "note": 7}],
+    }
+    docs = spark.createDataFrame([(1, json.dumps(doc), 1)], "raw_id long, doc_json string, loaded_at int")
+    t = flatten(docs, shape=WHOLE_PEOPLE)
+    people = {r.pk: r for r in t.persons.collect()}
+    assert (people[""].country, people[""].lat, people[""].lon) == ("y", 1.5, None) and people["1"].country == "" and (people["1"].city, people["1"].note) == ("z", "7")
+    assert people["0"].person_name == "bo" and people["0"].lat is None
+    assert sorted((r.parent, r.ordinal, r.color) for r in t.table("color").collect()) == [("", 0, "red"), ("", 1, "blue"), ("1", 0, "green")]
+    assert [(r.parent, r.email) for r in t.table("email").collect()] == [("", "e@x")]
+    plan = t.table("color")._jdf.queryExecution().executedPlan().toString()
+    assert "color__color" in plan and "person__" not in plan and "PartitionFilters: [isnotnull(tag" in plan
+    boxes = Shape("box", "boxes", "label", {"label": Field(("label",)), "weight": Field(("size", "kg"), type="int")}, {})
+    t = flatten(spark.createDataFrame([(1, '{"label": "a", "boxes": {"label": "b", "size": {"kg": 3}}}', 1)], "raw_id long, doc_json string, loaded_at int"), shape=boxes)
+    assert sorted((r.pk, r.parent, r.label, r.weight) for r in t.table("box").collect()) == [("", "-", "a", None), ("0", "", "b", 3)]
+
+
 def test_tables_link_and_odd_documents(spark):
     docs = [(1, None), (2, ""), (3, "{'a': 1}"), (4, "[1]"), (5, "null"), (6, '{"a":1} x'), (7, "{}"), (7, '{"name":"new"}'), (None, "{}"), (8, '{"friends":{}}'), (9, '{"name":"\\ud800","n":NaN}'), (10, '{"name":"\\ud800"}')]
     t, rows = run(spark, docs)

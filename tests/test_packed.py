@@ -76,3 +76,7 @@ def test_round_trip_of_random_values(spark):
         want.append(values if len(values) > 1 else [])
     assert run(spark, texts) == want
     assert not any(re.search('"', v) for vs in want for v in vs)
+
+
+def test_control_characters_stay(spark):
+    assert run(spark, ["a\x01b, c\x02a", '"x,\x02b\x01", \x02']) == [["a\x01b", "c\x02a"], ["x,\x02b\x01", "\x02"]]

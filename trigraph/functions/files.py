@@ -31,6 +31,11 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def delete_at_end(self, path: str) -> None:
+        """Deletes a folder when the application ends."""
+        fs, p = self._at(path)
+        fs.deleteOnExit(p)
+
     def write_text(self, path: str, text: str) -> None:
         """Written beside and renamed, so that readers see the old or the new text."""
         fs, p = self._at(path)

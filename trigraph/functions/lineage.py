@@ -7,19 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trigraph.functions.files import Files
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """This application's part of the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests on one machine) gets a local folder of its own.
+    Only a session on one machine (tests) may lack that setting and gets a folder of its own. What is below is
+    temporary: it is removed when the application ends.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trigraph-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    mine = sc._jsc.sc().getCheckpointDir().get()
+    Files(spark).delete_at_end(mine)
+    return mine
 
 
 def cut(df: DataFrame) -> DataFrame:

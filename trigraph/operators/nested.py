@@ -1,36 +1,71 @@
 """Deeply nested JSON documents to flat tables that keep parent-child links.
 
 One pass: a depth-first visitor walks each document once and emits tagged rows (table tag, primary key, parent key,
-payload). The stream is written partitioned by tag into the shared folder, and each table is read back from its own
-partition with its own schema, so no document is parsed twice and a table's reader never touches the other tables.
+payload). The stream is written partitioned by tag into the shared folder, each table's payload in columns of its own
+types, and each table is read back from its own partition with its own schema, so no document is parsed twice and a
+table's reader touches neither the other tables nor their columns.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trigraph.functions.files import Files
 from trigraph.functions.lineage import shared_path
 
-TAGGED = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("tag", T.StringType()),
-        T.StructField("pk", T.StringType()),
-        T.StructField("parent", T.StringType()),
-        T.StructField("ordinal", T.LongType()),
-        T.StructField("payload", T.ArrayType(T.StringType())),
-    ]
+KEYS = "doc_id long, tag string, pk string, parent string, ordinal long"
+
+
+@dataclass(frozen=True)
+class Field:
+    """A scalar at a path. ``bare``: a text in place of the first object is the value; ``wrapped``: an object's first value is meant."""
+
+    path: tuple[str, ...]
+    bare: bool = False
+    wrapped: bool = False
+    type: str = "string"
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What a document holds: rows nested in rows of their own kind, and lists of values.
+
+    ``tag`` names the table of the nested rows, ``children`` the field they nest in and ``fields`` their columns; a
+    bare text in place of a row has it in column ``text``. ``lists`` has, by table, the field below which and the
+    name under which values stand.
+    """
+
+    tag: str
+    children: str
+    text: str
+    fields: Mapping[str, Field]
+    lists: Mapping[str, tuple[str, str]]
+
+    def columns(self, tag: str) -> dict[str, str]:
+        """Payload columns of a table, with their types."""
+        return {n: f.type for n, f in self.fields.items()} if tag == self.tag else {tag: "string"}
+
+
+PEOPLE = Shape(
+    "person",
+    "friends",
+    "person_name",
+    {"id_text": Field(("_id",), wrapped=True), "person_name": Field(("name",)), "city": Field(("location", "city"), bare=True)},
+    {"phone": ("contact", "phone")},
+)
+#: All that is known of people.
+WHOLE_PEOPLE = replace(
+    PEOPLE,
+    fields={**PEOPLE.fields, "country": Field(("location", "country")), "lat": Field(("location", "geo", "lat"), type="double"), "lon": Field(("location", "geo", "lon"), type="double"), "note": Field(("note",))},
+    lists={**PEOPLE.lists, "email": ("contact", "email"), "color": ("colors", "colors")},
 )
-#: The payload's columns, by tag.
-SCHEMAS = {"person": ("id_text", "person_name", "city"), "phone": ("phone",)}
 ROOT_PARENT = "-"
 
 
@@ -139,39 +174,38 @@ def _clean(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
-def _ident(value) -> str:
-    while isinstance(value, dict):
-        value = next(iter(value.values()), None)
-    return _text(value)
-
-
-def _city(value) -> str:
-    while isinstance(value, list):
-        if len(value) != 1:
-            return ""
-        value = value[0]
-    if isinstance(value, dict):
-        value = value.get("city")
-        while isinstance(value, list) and len(value) == 1:
+def _value(row: dict, field: Field) -> str:
+    """A field's scalar as text; lists of one are their element, other lists no value."""
+    value, last = row, len(field.path)
+    for i, name in enumerate(field.path):
+        value = value.get(name)
+        while isinstance(value, list) and (len(field.path) > 1) and len(value) == 1:
             value = value[0]
+        if not isinstance(value, dict):
+            last = i + 1
+            break
+    if last < len(field.path) and not (field.bare and last == 1):
+        return ""
+    while field.wrapped and isinstance(value, dict):
+        value = next(iter(value.values()), None)
     return _text(value)
 
 
-def _phones(contact) -> Iterator[str]:
-    """Non-empty values of every ``phone`` below ``contact``, in the order of the document."""
-    stack = [(contact, False)]
+def _listed(value, name: str, named: bool = False) -> Iterator[str]:
+    """Non-empty values of every ``name`` below ``value``, in the order of the document."""
+    stack = [(value, named)]
     while stack:
-        value, phone = stack.pop()
+        value, named = stack.pop()
         if isinstance(value, dict):
-            stack.extend((v, k == "phone") for k, v in reversed(value.items()))
+            stack.extend((v, k == name) for k, v in reversed(value.items()))
         elif isinstance(value, list):
-            stack.extend((v, phone) for v in reversed(value))
-        elif phone and (text := _text(value)).strip():
+            stack.extend((v, named) for v in reversed(value))
+        elif named and (text := _text(value)).strip():
             yield text
 
 
-def _friends(value) -> list:
-    """The places of a ``friends`` field: a lone object or text is a list of one, an empty object none."""
+def _below(value) -> list:
+    """The places of a field of nested rows: a lone object or text is a list of one, an empty object none."""
     if isinstance(value, str) and not isinstance(value, Number):
         try:
             held = parse(value)
@@ -185,65 +219,74 @@ def _friends(value) -> list:
     return value if isinstance(value, list) else []
 
 
-def visit(doc: dict) -> Iterator[tuple[str, str, str, int, list[str]]]:
-    """Depth-first (tag, pk, parent, ordinal, payload) of one document. A person's key is its path."""
+def visit(doc: dict, shape: Shape = PEOPLE) -> Iterator[tuple]:
+    """Depth-first (tag, pk, parent, ordinal, values) of one document. A nested row's key is its path."""
     stack = [("", ROOT_PARENT, 0, doc)]
     while stack:
-        path, parent, place, person = stack.pop()
-        if isinstance(person, str):
-            yield "person", path, parent, place, ["", _clean(person), ""]
+        path, parent, place, row = stack.pop()
+        if isinstance(row, str):
+            yield shape.tag, path, parent, place, [_clean(row) if n == shape.text else "" for n in shape.fields]
             continue
-        yield "person", path, parent, place, [_ident(person.get("_id")), _text(person.get("name")), _city(person.get("location"))]
-        for i, phone in enumerate(_phones(person.get("contact"))):
-            yield "phone", f"{path}#{i}", path, i, [phone]
-        below = [(f"{path}.{i}" if path else str(i), path, i, f) for i, f in enumerate(_friends(person.get("friends"))) if isinstance(f, (dict, str))]
+        yield shape.tag, path, parent, place, [_value(row, f) for f in shape.fields.values()]
+        for tag, (start, name) in shape.lists.items():
+            for i, text in enumerate(_listed(row.get(start), name, start == name)):
+                yield tag, f"{path}#{i}", path, i, [text]
+        below = [(f"{path}.{i}" if path else str(i), path, i, f) for i, f in enumerate(_below(row.get(shape.children))) if isinstance(f, (dict, str))]
         stack.extend(reversed(below))
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = TAGGED.names
-    for batch in batches:
-        rows: list[tuple] = []
-        for ident, text in zip(batch["__i"], batch["__t"]):
-            try:
-                doc = parse(text)
-            except ValueError:
-                continue
-            if isinstance(doc, dict):
-                rows.extend((ident, *row) for row in visit(doc))
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=columns)
-                rows = []
-        yield pd.DataFrame(rows, columns=columns)
-
-
-def tagged_rows(docs: DataFrame, ident: str = "raw_id", column: str = "doc_json", version: str = "loaded_at") -> DataFrame:
-    """The tagged stream of all documents, lazily.
+def tagged_rows(docs: DataFrame, ident: str = "raw_id", column: str = "doc_json", version: str = "loaded_at", shape: Shape = PEOPLE) -> DataFrame:
+    """The tagged stream of all documents, lazily: keys, and the payload columns of all tables.
 
     Of a document delivered more than once the latest ``version`` counts (of equally late ones the greatest text).
     """
+    tags = [shape.tag, *shape.lists]
+    names = [(t, n, f"{t}__{n}", kind) for t in tags for n, kind in shape.columns(t).items()]
+    start = {t: next(i for i, (of, *_) in enumerate(names) if of == t) for t in tags}
+    keys = [part.split()[0] for part in KEYS.split(", ")]
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*keys, *(full for _, _, full, _ in names)]
+        for batch in batches:
+            rows: list[tuple] = []
+            for ident, text in zip(batch["__i"], batch["__t"]):
+                try:
+                    doc = parse(text)
+                except ValueError:
+                    continue
+                if isinstance(doc, dict):
+                    for tag, pk, parent, ordinal, values in visit(doc, shape):
+                        before = start[tag]
+                        rows.append((ident, tag, pk, parent, ordinal, *(None,) * before, *values, *(None,) * (len(names) - before - len(values))))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
+
     one = docs.select(F.col(ident).cast("bigint").alias("__i"), F.col(column).cast("string").alias("__t"), F.col(version).alias("__v")).where("__i is not null and __t is not null")
     one = one.groupBy("__i").agg(F.max_by("__t", F.struct("__v", "__t")).alias("__t"))
-    return one.mapInPandas(_emit, TAGGED)
+    rows = one.mapInPandas(emit, ", ".join([KEYS, *(f"{full} string" for _, _, full, _ in names)]))
+    return rows.select(*keys, *(F.col(full) if kind == "string" else F.col(full).try_cast(kind).alias(full) for _, _, full, kind in names))
 
 
 class FlatTables:
     """The related flat tables of nested documents; see ``flatten``."""
 
-    def __init__(self, docs: DataFrame, ident: str, column: str, version: str):
-        self.ident = ident
+    def __init__(self, docs: DataFrame, ident: str, column: str, version: str, shape: Shape):
+        self.ident, self.shape = ident, shape
         self.spark = docs.sparkSession
         self.path = shared_path(self.spark, "flat-tables")
-        tagged_rows(docs, ident, column, version).write.partitionBy("tag").parquet(self.path)
+        tagged_rows(docs, ident, column, version, shape).write.partitionBy("tag").parquet(self.path)
 
     def table(self, tag: str) -> DataFrame:
-        """One table with its own schema; the reader prunes to the tag's partition."""
-        rows = self.spark.read.schema(TAGGED).parquet(self.path).where(F.col("tag") == tag)
-        payload = [F.col("payload")[i].alias(name) for i, name in enumerate(SCHEMAS[tag])]
-        return rows.select(F.col("doc_id").alias(self.ident), "pk", "parent", "ordinal", *payload)
+        """One table (the ident, pk, parent, ordinal, payload) with its own schema; the reader prunes to the tag's partition."""
+        payload = self.shape.columns(tag)
+        schema = ", ".join([KEYS, *(f"{tag}__{n} {kind}" for n, kind in payload.items())])
+        rows = self.spark.read.schema(schema).parquet(self.path).where(F.col("tag") == tag)
+        return rows.select(F.col("doc_id").alias(self.ident), "pk", "parent", "ordinal", *(F.col(f"{tag}__{n}").alias(n) for n in payload))
 
     def drop(self) -> None:
-        """Removes the written tables."""
+        """Removes the written tables; else they go with the application's shared folder."""
         Files(self.spark).delete(self.path)
 
     @property
@@ -271,15 +314,15 @@ class FlatTables:
         )
 
 
-def flatten(docs: DataFrame, ident: str = "raw_id", column: str = "doc_json", version: str = "loaded_at") -> FlatTables:
-    """Persons and phones of nested person documents.
+def flatten(docs: DataFrame, ident: str = "raw_id", column: str = "doc_json", version: str = "loaded_at", shape: Shape = PEOPLE) -> FlatTables:
+    """Persons and phones of nested person documents, or the tables of another ``shape``.
 
     Persons are the document (path empty, parent ``-``) and each friend at any depth (path: 0-based places joined by
     dots). ``pk`` and ``parent`` are paths, unique within a document, so (``ident``, ``parent``) names the parent row.
 
     Defined cases: null, empty or unreadable documents, and such that aren't an object, give no rows; neither does a
     null ``ident``. Null friends (and numbers, lists or booleans in a friend's place) are skipped and keep their
-    place. Absent fields are empty. A repeated document counts once, at its latest version. Documents may be of any
-    length and depth. Other columns are never read. Empty input gives empty tables.
+    place. Absent text fields are empty, numbers that can't be read null. A repeated document counts once, at its
+    latest version. Documents may be of any length and depth. Other columns are never read. Empty input gives empty tables.
     """
-    return FlatTables(docs, ident, column, version)
+    return FlatTables(docs, ident, column, version, shape)

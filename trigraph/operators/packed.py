@@ -19,6 +19,8 @@ SUFFIXES = ("PhD", "Ph.D.", "MD", "M.D.", "Jr", "Jr.", "Sr", "Sr.", "II", "III",
 #: Opening and closing marks that may enclose a value.
 MARKS = (('"', '"'), ("'", "'"), ("“", "”"), ("«", "»"), ("‘", "’"), ("‹", "›"), ("„", "“"))
 CUT = "\x01"
+#: How the cut mark, and this mark itself, are written while a text is split.
+HELD = (("\x02", "\x02b"), (CUT, "\x02a"))
 BLANK = r"[\s\x{a0}]"
 
 
@@ -47,7 +49,10 @@ def packed_values(
         body = f"[^{c}]*+" if o != c else f"[^{c}]*+(?:{c}{c}[^{c}]*+)*+"
         parts.append(f"{o}{body}{c}")
     enclosed = f"(^|{d}|(?<!\\S){word}(?=\\s))({BLANK}*+)({'|'.join(parts)})(?={BLANK}*(?:$|{d})|\\s+{word}(?!\\S))"
-    marked = F.regexp_replace(F.translate(text, CUT, ""), enclosed, f"$1$2{CUT}$3{CUT}")
+    held = text
+    for mark, code in HELD:
+        held = F.replace(held, F.lit(mark), F.lit(code))
+    marked = F.regexp_replace(held, enclosed, f"$1$2{CUT}$3{CUT}")
     pieces = F.split(marked, CUT, -1)
     trim = lambda c: F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
@@ -64,7 +69,13 @@ def packed_values(
         alone = "|".join(x.replace(".", "\\.") for x in suffixes)
         bare = f"(?!,{BLANK}*+(?:{alone}){BLANK}*+(?:{d}|$))(?:{bare})"
     split = F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, literal(piece)).otherwise(F.split(piece, bare, -1)))
-    values = F.filter(F.transform(F.flatten(split), trim), lambda v: v != "")
+
+    def free(value: Column) -> Column:
+        for mark, code in reversed(HELD):
+            value = F.replace(value, F.lit(code), F.lit(mark))
+        return value
+
+    values = F.filter(F.transform(F.flatten(split), lambda v: free(trim(v))), lambda v: v != "")
     return F.coalesce(values, F.array().cast("array<string>"))
 
 
