@@ -9,13 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A line the JVM can split alone: three terms that are IRIs, blank nodes, bare words or plainly quoted text.
-_TERM = r'(<[^<>"\'\s\\]*>|[^\s"\'\\<>#]+|"[^"\\]*")'
-_LINE = rf"^\s*{_TERM}\s+{_TERM}\s+{_TERM}\s*(\S+)?\s*$"
+#: A line the JVM can split alone: three terms, each a word or plainly quoted text, and maybe more, parted by blanks.
+_TERM = r'([^ \t\r\n"\'\\]+|"[^"\\]*")'
+_LINE = rf"^[ \t\r]*{_TERM}[ \t\r]+{_TERM}[ \t\r]+{_TERM}(?:[ \t\r]+[^\"'\\]*)?$"
+#: What Python takes for blanks.
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
 
 
 def split_line(line: str) -> list[str] | None:
-    """Terms by shell rules: quotes go, backslashes escape, blanks in quotes stay."""
+    """Terms by shell rules: quotes go, backslashes escape, blanks in quotes stay but for outer ones."""
     try:
         parts = shlex.split(line)
     except ValueError as e:
@@ -24,20 +30,21 @@ def split_line(line: str) -> list[str] | None:
         return None
     if len(parts) < 3:
         raise ValueError(f"a triple line needs three terms: {line[:200]!r}")
-    return parts[:3]
+    return [p.strip() for p in parts[:3]]
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o) of a line file; the context term is dropped, blank lines are skipped.
 
-    Plain lines are split by one regular expression in the JVM; only lines with escapes or mixed quoting go to Python.
+    Plain lines are split by one regular expression in the JVM; lines with escapes, typed or tagged literals, or mixed
+    quoting go to Python.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(_strip(F.col("value")) != "")
     plain = F.col("value").rlike(_LINE)
 
     def term(i: int) -> Column:
         t = F.regexp_extract("value", _LINE, i)
-        return F.when(t.startswith('"'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+        return _strip(F.when(t.startswith('"'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t))
 
     fast = lines.where(plain).select(term(1).alias("s"), term(2).alias("p"), term(3).alias("o"))
 
@@ -65,18 +72,22 @@ def read_csv(spark: SparkSession, path: str, id_column: str) -> DataFrame:
     return unpivot(table, id_column)
 
 
+def _words(spark: SparkSession, path: str) -> DataFrame:
+    """(w) per line: its words, as any blanks part them."""
+    return spark.read.text(path).select(F.split(_strip(F.col("value")), f"{_BLANK}+").alias("w"))
+
+
 def read_edgelist(spark: SparkSession, path: str, predicate: str = "none") -> DataFrame:
     """The first two words of each line, joined by ``predicate``."""
-    words = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w")).where(F.size("w") >= 2)
+    words = _words(spark, path).where(F.size("w") >= 2)
     return words.select(F.col("w")[0].alias("s"), F.lit(predicate).alias("p"), F.col("w")[1].alias("o"))
 
 
 def read_word_vectors(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(id, vec) of lines ``word number number ...``; shorter lines are skipped."""
-    words = spark.read.text(path)
+    """(id, vec) of lines ``word number number ...``; shorter lines are skipped and don't count for ``limit``."""
+    split = _words(spark, path).where(F.size("w") >= 2)
     if limit is not None:
-        words = words.limit(limit)
-    split = words.select(F.split(F.trim("value"), r"\s+").alias("w")).where(F.size("w") >= 2)
+        split = split.limit(limit)
     return split.select(F.col("w")[0].alias("id"), F.transform(F.slice("w", F.lit(2), F.size("w") - 1), lambda x: x.cast("double")).alias("vec"))
 
 

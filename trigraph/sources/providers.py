@@ -45,12 +45,13 @@ def _post(url: str, body: dict, headers: dict | None = None) -> dict:
 
 
 def custom(texts: list[str], url: str | None = None, headers: dict | None = None) -> Pairs:
-    """Posts ``{"texts": [...]}`` to ``url``, which answers ``{"embeddings": [[...], ...]}``."""
+    """Posts ``{"texts": [...]}`` to ``url``, which answers ``{"embeddings": [{"text", "vector"}, ...]}``, or bare vectors in order."""
     if not url:
         raise ValueError("a custom provider needs url")
     out: Pairs = []
     for part in chunked(texts, REQUEST_TEXTS):
-        out.extend(zip(part, _post(url, {"texts": part}, headers)["embeddings"]))
+        got = _post(url, {"texts": part}, headers)["embeddings"]
+        out.extend((e["text"], e["vector"]) if isinstance(e, dict) else (t, e) for t, e in zip(part, got, strict=True))
     return out
 
 
