@@ -92,7 +92,7 @@ def bfs(
     reached = start.rows.where("false").withColumn("depth", F.lit(0))
     for level in found:
         reached = reached.unionByName(level)
-    return replace(start, rows=reached if depth_column else reached.drop("depth"), starts=None, whole=None, sort=None)
+    return start._with(reached if depth_column else reached.drop("depth"))
 
 
 def dfs(
@@ -116,7 +116,7 @@ def dfs(
     preds = as_list(predicates)
     tables, track = start.tables, start.track
     near = adjacency(tables, preds, direction)
-    reach = bfs(replace(start, rows=start.rows.select("id"), track=False, whole=None), preds, None if max_depth is None else max_depth - 1, 0, direction)
+    reach = bfs(replace(start._with(start.rows.select("id")), track=False, starts=start.starts), preds, None if max_depth is None else max_depth - 1, 0, direction)
     sources = cut(reach.rows.select("id").unionByName(start.rows.select("id")).distinct())
     held = near.join(sources, F.col("src") == F.col("id"), "left_semi").limit(DRIVER_EDGES + 1).collect()
     if len(held) > DRIVER_EDGES:
@@ -151,4 +151,4 @@ def dfs(
                 visited.add(dst)
                 stack.append(((dst, row[1], [pred], [*row[3], pred, dst]) if track else (dst,), depth + 1))
     rows = tables.spark.createDataFrame(out, start.rows.schema)
-    return replace(start, rows=rows, starts=None, whole=None, sort=None)
+    return start._with(rows)

@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trigraph.functions.ranks import running_total
 from trigraph.schema import NODE, ROW
 
 ASC, DESC = "asc", "desc"
 #: Literal starts up to this number are also pushed into the edge scan as a filter.
 PUSHED_STARTS = 1000
+#: A page that ends within so many rows is taken from the first rows; beyond, rows are numbered.
+PAGE_ROWS = 100_000
 Predicate = Callable[[str], bool] | Column
 
 
@@ -41,12 +45,12 @@ def as_list(value: str | Iterable[str] | None) -> list[str] | None:
 
 
 def condition(func: Predicate, column: Column | None = None) -> Column:
-    """A filter over ids: a Column is used as it is (over ``id``), a Python callable becomes a boolean UDF."""
+    """A filter over ids: a Column is used as it is (over ``id``), a Python callable becomes a boolean UDF fed in Arrow batches."""
     if isinstance(func, Column):
         return func
     if not callable(func):
         raise TypeError("a filter is a Column or a callable")
-    return F.udf(lambda x: bool(func(x)), "boolean")(F.col("id") if column is None else column)
+    return F.udf(lambda x: bool(func(x)), "boolean", useArrow=True)(F.col("id") if column is None else column)
 
 
 def hop_edges(tables: Tables, predicates: list[str] | None, direction: str, starts: Sequence[str] | None = None) -> DataFrame:
@@ -75,11 +79,21 @@ def adjacency(tables: Tables, predicates: list[str] | None, direction: str, star
 @dataclass(frozen=True)
 class Traversal:
     tables: Tables
-    rows: DataFrame
+    base: DataFrame
     track: bool = True
     starts: tuple[str, ...] | None = None  # literal ids of an unhopped frontier
     sort: tuple[Column, ...] | None = None
     whole: tuple[str, ...] | None = None  # the frontier is all nodes, saved under these tags: a hop needs no join
+    only: tuple[Column, ...] = ()  # of all nodes, those that pass
+    skipped: int = 0  # rows of ``base`` to leave out at the front, in order
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The frontier. Rows to be skipped are told by number, counted without one task that sees all rows."""
+        if not self.skipped:
+            return self.base
+        numbered = running_total(self.base, self._order(), None, "__at")
+        return numbered.where(F.col("__at") >= self.skipped).drop("__at")
 
     # sources
 
@@ -88,25 +102,31 @@ class Traversal:
         """All nodes, or literal ids (not looked up; a list keeps repeats). ``func`` filters a full scan only."""
         spark = tables.spark
         ids = as_list(vertex)
+        only: tuple[Column, ...] = ()
         if ids is None:
             base = tables.nodes.select("id")
             if func is not None:
-                base = base.where(condition(func))
+                only = (condition(func),)
+                base = base.where(only[0])
         elif not ids:
             base = spark.createDataFrame([], NODE)
         else:
             base = spark.createDataFrame([(i,) for i in ids], NODE)
             if not track_paths:
                 base = base.distinct()
-        t = Traversal(tables, base, track_paths, tuple(ids) if ids is not None else None, whole=() if ids is None and func is None else None)
+        t = Traversal(tables, base, track_paths, tuple(ids) if ids is not None else None, whole=() if ids is None else None, only=only)
         return t._tracked() if track_paths else t
 
     def _tracked(self) -> Traversal:
         rows = self.rows.select("id", F.create_map().cast(ROW["tags"].dataType).alias("tags"), F.array().cast("array<string>").alias("edges"), F.array("id").alias("path"))
-        return replace(self, rows=rows, track=True)
+        return replace(self, base=rows, track=True)
 
     def _with(self, rows: DataFrame, keep_sort: bool = False) -> Traversal:
-        return replace(self, rows=rows, starts=None, sort=self.sort if keep_sort else None, whole=None)
+        return replace(self, base=rows, starts=None, sort=self.sort if keep_sort else None, whole=None, only=(), skipped=0)
+
+    def _where(self, passes: Column) -> Traversal:
+        kept = self._with(self.rows.where(passes), True)
+        return kept if self.whole is None else replace(kept, whole=self.whole, only=(*self.only, passes))
 
     def _order(self) -> list[Column]:
         """The order of rows: the asked one, else by id and path, so that pages are disjoint."""
@@ -114,14 +134,16 @@ class Traversal:
         return [*(self.sort or ()), *rest]
 
     def _meet(self, near: DataFrame) -> DataFrame:
-        """The rows beside their edges in ``near`` (src, pred, dst). All nodes meet all edges without a join."""
+        """The rows beside their edges in ``near`` (src, pred, dst). All nodes, or those that pass, meet all edges without a join."""
         if self.whole is None:
             return self.rows.join(near, F.col("id") == F.col("src"))
         met = near.withColumn("id", F.col("src"))
-        if not self.track:
-            return met
-        tags = F.create_map(*(c for k in self.whole for c in (F.lit(k), F.col("src")))).cast(ROW["tags"].dataType)
-        return met.withColumns({"tags": tags, "edges": F.array().cast("array<string>"), "path": F.array("src")})
+        if self.track:
+            tags = F.create_map(*(c for k in self.whole for c in (F.lit(k), F.col("src")))).cast(ROW["tags"].dataType)
+            met = met.withColumns({"tags": tags, "edges": F.array().cast("array<string>"), "path": F.array("src")})
+        for passes in self.only:
+            met = met.where(passes)
+        return met
 
     # hops
 
@@ -167,13 +189,13 @@ class Traversal:
         return self._has("inc", predicates, vertex)
 
     def filter(self, func: Predicate) -> Traversal:
-        return self._with(self.rows.where(condition(func)), True)
+        return self._where(condition(func))
 
     def is_(self, *nodes: str | Iterable[str]) -> Traversal:
         ids = as_list(nodes[0]) if len(nodes) == 1 else list(nodes)
         if not ids:
             raise ValueError("is_ needs a node")
-        return self._with(self.rows.where(F.col("id").isin(ids)), True)
+        return self._where(F.col("id").isin(ids))
 
     def unique(self) -> Traversal:
         """One row per id: the one with the least path."""
@@ -194,7 +216,7 @@ class Traversal:
         kept = F.map_filter("tags", lambda k, _: ~k.isin(keys))
         new = F.create_map(*(c for k in dict.fromkeys(keys) for c in (F.lit(k), F.col("id"))))
         tagged = self._with(self.rows.withColumn("tags", F.map_concat(kept, new)), True)
-        return tagged if self.whole is None else replace(tagged, whole=tuple(dict.fromkeys((*self.whole, *keys))))
+        return tagged if self.whole is None else replace(tagged, whole=tuple(dict.fromkeys((*self.whole, *keys))), only=self.only)
 
     def back(self, tag: str) -> Traversal:
         """Moves to the vertex saved under ``tag``; rows without it are dropped."""
@@ -205,17 +227,23 @@ class Traversal:
     # order
 
     def order(self, direction: str = ASC) -> Traversal:
-        return replace(self, sort=(F.col("id").desc() if direction == DESC else F.col("id").asc(),), whole=None)
+        return replace(self._with(self.rows), starts=self.starts, sort=(F.col("id").desc() if direction == DESC else F.col("id").asc(),))
 
     def limit(self, n: int) -> Traversal:
+        """The first rows in order; after ``skip`` the page behind the skipped ones."""
         if n < 0:
             raise ValueError("limit can't be negative")
-        return self._with(self.rows.orderBy(*self._order()).limit(n), True)
+        end = self.skipped + n
+        if self.skipped and end > PAGE_ROWS:
+            numbered = running_total(self.base, self._order(), None, "__at")
+            return self._with(numbered.where(F.col("__at").between(self.skipped, end - 1)).drop("__at"), True)
+        first = self.base.orderBy(*self._order()).limit(end)
+        return self._with(first.offset(self.skipped) if self.skipped else first, True)
 
     def skip(self, n: int) -> Traversal:
         if n < 0:
             raise ValueError("skip can't be negative")
-        return self._with(self.rows.orderBy(*self._order()).offset(n), True)
+        return replace(self._with(self.rows, True), skipped=n)
 
     # terminals and results
 

@@ -61,7 +61,7 @@ def sim(start: Traversal, text: str, operator: str, threshold: float | list[floa
             raise ValueError("a row has no embedding")
         rows = rows.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     kept = rows.where(_passes(F.col("similarity"), operator, threshold)).drop("similarity")
-    return replace(start, rows=kept, starts=None, whole=None)
+    return start._with(kept, True)
 
 
 def everything(tables: Tables) -> Traversal:
@@ -80,8 +80,8 @@ def k_nearest(start: Traversal, text: str, k: int = 10, keep_similarity: bool =
     rest = [F.col("path")] if start.track else []
     best = rows.orderBy(F.col("similarity").desc(), F.col("id"), *rest).limit(max(0, k))
     if not keep_similarity:
-        return replace(start, rows=best.drop("similarity"), starts=None, whole=None, sort=None)
-    return replace(start, rows=best, starts=None, whole=None, sort=(F.col("similarity").desc(),))
+        return start._with(best.drop("similarity"))
+    return replace(start._with(best), sort=(F.col("similarity").desc(),))
 
 
 def embedding_stats(tables: Tables) -> DataFrame:
