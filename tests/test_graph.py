@@ -81,6 +81,64 @@ def test_small_puts_are_flushed_and_compacted(spark, tmp_path):
     assert len(g.triples()) == 20 and len(g.store.manifest["edges"]) < 4
 
 
+def test_changes_over_a_snapshot_against_replay(spark, tmp_path, monkeypatch):
+    from trigraph import store
+
+    rng = random.Random(5)
+    g = Graph(spark, "g", home=str(tmp_path), flush_rows=0, compact_files=3)
+    live, nodes, vecs = set(), set(), {}
+    for step in range(5):
+        monkeypatch.setattr(store, "TAIL_ROWS", 0 if step == 3 else 100_000)
+        for _ in range(30):
+            s, p, o, op = f"s{rng.randrange(5)}", rng.choice("pq"), f"o{rng.randrange(6)}", rng.choice("PPRD")
+            if op == "D":
+                g.delete(s, p, o)
+                live.discard((s, p, o))
+                continue
+            if op == "R":
+                live = {t for t in live if t[:2] != (s, p)}
+            g.put(s, p, o, update=op == "R")
+            live.add((s, p, o))
+            nodes |= {s, o}
+        word = f"w{step % 3}"
+        if step == 2:
+            g.delete_embedding("w0")
+            vecs.pop("w0", None)
+        g.put_embedding(word, [float(step)])
+        vecs[word] = [float(step)]
+        g.sync()
+        if step == 0:
+            g.compact().put_batch([(f"big{i}", "p", "x") for i in range(400)]).compact()
+            live |= {(f"big{i}", "p", "x") for i in range(400)}
+            nodes |= {f"big{i}" for i in range(400)} | {"x"}
+            snapshot = g.store.manifest["snapshot"]
+        assert set(g.triples()) == live and len(g.triples()) == len(live)
+        assert sorted(r.id for r in g.tables.nodes.collect()) == sorted(nodes)
+        assert sorted(r.p for r in g.tables.predicates.collect()) == ["p", "q"]
+        assert {r.id: r.vec for r in g.tables.embeddings.collect()} == vecs
+    assert g.store.manifest["snapshot"] == snapshot and len(g.store.manifest["edges"]) < 3
+    assert set(Graph(spark, "g", home=str(tmp_path)).triples()) == live
+
+
+def test_a_change_does_not_shuffle_the_snapshot(spark, tmp_path):
+    g = Graph(spark, "g", home=str(tmp_path)).put_batch([(f"s{i}", "p", f"o{i}") for i in range(50)]).compact()
+    g.put("s1", "p", "new", update=True).delete("s2", "p", "o2").put("s3", "q", "o3").sync()
+
+    def above_snapshot(plan, above=()):
+        """Names of the operators above each scan of the snapshot."""
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return above_snapshot(plan.initialPlan(), above)
+        if plan.nodeName().startswith("Scan parquet"):
+            return [above] if "snapshot" in plan.relation().location().rootPaths().mkString(",") else []
+        children = plan.children()
+        return [x for i in range(children.size()) for x in above_snapshot(children.apply(i), (*above, plan.nodeName()))]
+
+    for df in (g.tables.edges, g.tables.nodes, g.tables.predicates):
+        paths = above_snapshot(df._jdf.queryExecution().executedPlan())
+        assert len(paths) == 1 and not any("Exchange" in name for name in paths[0])
+    assert len(g.triples()) == 50
+
+
 def test_memory_view_follows_changes(g):
     g.enable_memory_view().put("a", "p", "b")
     assert g.v("a").out().count() == 1

@@ -21,6 +21,33 @@ def live_edges(log: DataFrame) -> DataFrame:
     return joined.where(F.col("since").isNull() | (F.col("seq") >= F.col("since"))).select("s", "p", "o")
 
 
+def merged_edges(log: DataFrame) -> DataFrame:
+    """The rows of a log that decide what it says: of each triple the last operation and the first that isn't a delete
+    (it made the vertices), of each (s, p) the last REPLACE."""
+    kept = log.groupBy("s", "p", "o").agg(F.max(F.struct("seq", "op")).alias("last"), F.min(F.when(F.col("op") != DELETE, F.struct("seq", "op"))).alias("first"))
+    kept = kept.select("s", "p", "o", F.explode(F.array_compact(F.array("first", "last"))).alias("r")).select("r.seq", "r.op", "s", "p", "o")
+    replaced = log.where(F.col("op") == REPLACE).groupBy("s", "p").agg(F.max(F.struct("seq", "o")).alias("r"))
+    return kept.unionByName(replaced.select("r.seq", F.lit(REPLACE).alias("op"), "s", "p", "r.o")).distinct()
+
+
+def merged_embeddings(log: DataFrame) -> DataFrame:
+    return log.groupBy("id").agg(F.max_by(F.struct("seq", "op", "vec"), "seq").alias("r")).select("r.seq", "r.op", "id", "r.vec")
+
+
+def over(base: DataFrame, log: DataFrame, few: bool) -> DataFrame:
+    """Live (s, p, o) of a compacted ``base`` and a later ``log``. With ``few`` log rows the base isn't shuffled."""
+    small = F.broadcast if few else lambda df: df
+    kept = base.join(small(log.select("s", "p", "o").distinct()), ["s", "p", "o"], "left_anti")
+    kept = kept.join(small(log.where(F.col("op") == REPLACE).select("s", "p").distinct()), ["s", "p"], "left_anti")
+    return kept.select("s", "p", "o").unionByName(live_edges(log))
+
+
+def joined_set(base: DataFrame, more: DataFrame, key: str, few: bool) -> DataFrame:
+    """The union of two sets by ``key``; what is in both comes from ``more``. With ``few`` more rows the base isn't shuffled."""
+    held = more.select(key)
+    return base.join(F.broadcast(held) if few else held, key, "left_anti").unionByName(more)
+
+
 def ever_nodes(log: DataFrame) -> DataFrame:
     """Every vertex ever put; deletes leave vertices behind."""
     put = log.where(F.col("op") != DELETE)
