@@ -56,11 +56,12 @@ def test_chain_breaks_edge_cases(spark):
 
 
 def test_chain_shuffles_rows_once(spark):
-    rows = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") % 3).alias("rec_key"), F.col("id").alias("store_position"), F.lit(1).alias("value_link"))
+    rows = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") % 3).alias("rec_key"), F.col("id").alias("store_position"), (F.col("id") % 5).alias("value_link"))
     df = chain_breaks(rows)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+    final = plan[: plan.index("Initial Plan")]
+    assert "ReusedExchange" in final and final.count("Range (0, 1000") == 1
 
 
 def test_eager_join_matches_plain_join(spark):

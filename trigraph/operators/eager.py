@@ -123,8 +123,9 @@ def _carried(states: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """
     near = states.withColumn("__g", F.floor(F.col("__b") / blocks).cast("bigint"))
     before = near.withColumn("__before", F.lag("__last").over(Window.partitionBy("__k", "__g").orderBy("__b")))
-    groups = near.groupBy("__k", "__g").agg(F.max("__last").alias("__last"))
-    far = groups.select("__k", "__g", F.lag("__last").over(Window.partitionBy("__k").orderBy("__g")).alias("__far")).where("__far is not null")
+    # Only groups with links are carried to; as their number is read here too, both uses of the states share one shuffle.
+    groups = near.groupBy("__k", "__g").agg(F.max("__last").alias("__last"), F.sum("__links").alias("__n"))
+    far = groups.select("__k", "__g", "__n", F.lag("__last").over(Window.partitionBy("__k").orderBy("__g")).alias("__far")).where("__far is not null and __n > 0").drop("__n")
     both = before.join(far, ["__k", "__g"], "left")
     return both.select("__k", "__b", "__links", F.coalesce("__before", "__far").alias("__carry"))
 
