@@ -287,6 +287,34 @@ def test_key_value_layer(spark, tmp_path):
             bad()
 
 
+def test_key_value_types(spark, tmp_path):
+    kv = KeyValueStore(spark, Config.of(home=str(tmp_path)))
+    values = {"text": "é", "empty": "", "yes": True, "no": False, "whole": -(1 << 63), "float": 0.1, "inf": float("inf"), "bytes": b"\x00\xff", "array": [1.5, 2.0], "none": "None"}
+    for k, v in values.items():
+        kv.put(k, v)
+    assert {k: kv.get(k) for k in values} == values and type(kv.get("yes")) is bool and type(kv.get("whole")) is int
+    kv.put_list("l", 1).put_list("l", b"x").put(b"text", None)
+    assert kv.get("l") == [b"x", 1] and kv.get(b"text") == "None" and kv.head("l") == ("l", b"x") and kv.head("float") == ("s", 0.1) and kv.head("gone") is None
+    for bad in (1 << 63, [True], ["a"]):
+        with pytest.raises(ValueError):
+            kv.put("x", bad)
+
+
+def test_key_value_stores_compact_and_go_on_counting(spark, tmp_path):
+    config = Config.of(home=str(tmp_path), flush_rows=2, compact_files=3)
+    kv = KeyValueStore(spark, config, "n").use_table("t")
+    for i in range(9):
+        kv.put("k", i).put_list("l", str(i)).put_set("s", str(i % 3))
+    kv.delete("l").put_list("l", "new").get_table("u").put("k", "other").flush()
+    kv = KeyValueStore(spark, config, "n").use_table("t")
+    assert len(kv.manifest["parts"]) < 3 and kv.list_tables() == ["t", "u"]
+    assert dict(kv.scanner()) == {"k": 8, "l": ["new"], "s": ["0", "1", "2"]} == dict(kv.compact().scanner())
+    kv.put("k", "later").put_list("l", "newer")
+    assert kv.get("k") == "later" and kv.get("l") == ["newer", "new"] and kv.get_table("u").get("k") == "other" and kv.table == "t"
+    rows = spark.createDataFrame([("P", "k", "a", 1), ("P", "k", "b", 2), ("U", "s", "9", 3)], "op string, key string, value string, seq long")
+    assert kv.append(rows).get("k") == "b" and kv.get("s") == ["0", "1", "2", "9"]
+
+
 def test_streamed_triples(spark, g, tmp_path):
     spark.createDataFrame([("a", "p", "b", "P"), ("a", "p", "b", "P"), (None, "p", "b", "P")], "s string, p string, o string, op string").write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema("s string, p string, o string, op string").parquet(str(tmp_path / "in"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -18,6 +19,7 @@ def ship(spark: SparkSession) -> SparkSession:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         name = os.path.basename(package)
         folder = tempfile.mkdtemp(prefix=f"{name}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         shutil.copytree(package, os.path.join(folder, "src", name), ignore=shutil.ignore_patterns("__pycache__"))
         spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", os.path.join(folder, "src")))
         _sent.add(app)

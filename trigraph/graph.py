@@ -21,6 +21,8 @@ from trigraph.sources import documents, files, providers
 from trigraph.store import GraphStore, graph_names
 
 Triple = tuple[str, str, str]
+#: Messages of failed batches that ``vectorize`` returns; the number of failed batches is told beside them.
+MOST_ERRORS = 100
 
 
 def _texts(*values: str) -> None:
@@ -31,8 +33,8 @@ def _texts(*values: str) -> None:
 class Graph:
     """A named graph. Chained traversal methods move ``current`` and return the graph; terminals read it.
 
-    ``Graph(spark, "name", home=...)`` stores under ``home`` (a fresh part of the session's shared folder if none is
-    named).
+    ``Graph(spark, "name", home=...)`` stores under ``home``. If none is named, the graph is temporary: it lies in a
+    fresh part of the session's shared folder and goes with the application.
     ``Graph.from_triples(df)`` reads existing DataFrames and can't be changed.
     """
 
@@ -274,8 +276,9 @@ class Graph:
         if n:
             self.put_embeddings_batch(made)
         out = {"vectorized": n, "skipped": skipped, "total": total}
-        errors = [r.error for r in done.where("error is not null").select("error").limit(100).collect()]
-        return out | ({"errors": errors} if errors else {})
+        failed = done.where("error is not null")
+        errors = [r.error for r in failed.select("error").limit(MOST_ERRORS).collect()]
+        return out | ({"errors": errors, "failed_batches": failed.count()} if errors else {})
 
     def _auto_embed(self, text: str) -> None:
         if self._provider and self.store is not None and vectors.embedding(self.tables, text) is None:
@@ -410,13 +413,16 @@ class Graph:
 
     # views and service
 
-    def view(self, name: str):
+    def view(self, name: str, persist: bool = True):
         from trigraph.view import View
 
-        return View.of(self, name)
+        return View.of(self, name, persist)
 
-    def show(self, name: str = "graph"):
-        return self.view(name).show()
+    def show(self, height: int = 500, width: int = 700, dark: bool = False):
+        """Shows the traversal's graph in a notebook, without keeping the page."""
+        view = self.view("graph", persist=False)
+        view.show(height, width, dark)
+        return view
 
     def lsv(self) -> list[str]:
         from trigraph.view import saved
@@ -441,7 +447,7 @@ class Graph:
         return self
 
     @staticmethod
-    def connect(url: str):
+    def connect(url: str, timeout: float = 60):
         from trigraph.remote import RemoteGraph
 
-        return RemoteGraph(url)
+        return RemoteGraph(url, timeout)

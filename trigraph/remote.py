@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import urllib.error
+import urllib.parse
 import urllib.request
 
 
 class RemoteGraph:
     def __init__(self, url: str, timeout: float = 60):
+        if not urllib.parse.urlsplit(url).path.strip("/"):
+            raise ValueError("the URL ends with the graph's name: http://host:port/name")
         self.url, self.timeout = url.rstrip("/"), timeout
         self._steps: list[str] = []
 
@@ -96,7 +99,15 @@ class RemoteGraph:
         return self._step("k_nearest", text, k=k)
 
     def all(self, options: str | None = None) -> dict:
-        return self._run("all()" if options is None else f"all({options!r})")
+        """All rows, fetched page by page."""
+        steps, self._steps = ".".join([*self._steps, "all()" if options is None else f"all({options!r})"]), []
+        rows: list[dict] = []
+        page, more = 0, True
+        while more:
+            reply = self._post("query", {"q": steps, "page": page})
+            rows += reply["result"]["result"]
+            page, more = page + 1, reply.get("more", False)
+        return {"result": rows}
 
     def count(self) -> int:
         return self._run("count()")

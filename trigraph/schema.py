@@ -9,11 +9,10 @@ EMBEDDING = T.StructType([T.StructField("id", T.StringType(), False), T.StructFi
 #: op: P put, R replace all objects of (s, p), D delete.
 EDGE_LOG = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("op", T.StringType(), False), *EDGE.fields])
 EMBEDDING_LOG = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("op", T.StringType(), False), T.StructField("id", T.StringType(), False), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-#: op: P put a scalar, L prepend to a list, U add to a set, D delete.
+#: op: P put a scalar, L prepend to a list, U add to a set, D delete. A value begins with the letter of its type.
 KV_LOG = T.StructType(
     [
         T.StructField("seq", T.LongType(), False),
-        T.StructField("ts", T.TimestampType(), False),
         T.StructField("op", T.StringType(), False),
         T.StructField("tbl", T.StringType(), False),
         T.StructField("key", T.StringType(), False),

@@ -13,6 +13,8 @@ STARTS = ("v", "scan", "k_nearest")
 CHAIN = frozenset("v out inc both has hasr filter is_ unique limit skip order tag back bfs dfs sim k_nearest all count first one scan graph triples".split())
 MUTATIONS = ("put", "put_batch", "delete", "truncate")
 MOST_BODY = 64 << 20
+#: Rows of one reply; the client asks for further pages.
+PAGE_ROWS = 10_000
 
 
 class QueryError(ValueError):
@@ -95,11 +97,25 @@ def parse_query(text: str) -> list[tuple[str, list, dict]]:
     raise QueryError("a query is a chain of calls")
 
 
-def run_query(graph, text: str):
+def run_query(graph, text: str, page: int = 0) -> tuple[object, bool]:
+    """The result and whether there is a further page. No reply holds more than ``PAGE_ROWS`` rows."""
+    from pyspark.sql import functions as F
+
     result = None
     for name, args, kwargs in parse_query(text):
+        if name == "all":
+            rows = graph.current.skip(page * PAGE_ROWS).limit(PAGE_ROWS + 1).all(*args, **kwargs)["result"]
+            return {"result": rows[:PAGE_ROWS]}, len(rows) > PAGE_ROWS
+        if name == "triples":
+            after = graph.triples_df().orderBy(F.col("s"), F.col("p"), F.col("o")).limit((page + 1) * PAGE_ROWS + 1).offset(page * PAGE_ROWS)
+            rows = [tuple(r) for r in after.collect()]
+            return rows[:PAGE_ROWS], len(rows) > PAGE_ROWS
+        if name == "graph" and graph.current.graph_links().limit(PAGE_ROWS + 1).count() > PAGE_ROWS:
+            raise QueryError(f"a graph of over {PAGE_ROWS} links isn't sent; use limit()")
+        if name == "scan" and (args[0] if args else kwargs.get("limit", 0)) > PAGE_ROWS:
+            raise QueryError(f"a scan sends at most {PAGE_ROWS} ids")
         result = getattr(graph, name)(*args, **kwargs)
-    return result if isinstance(result, (dict, int, list)) or result is None else []
+    return result if isinstance(result, (dict, int, list)) or result is None else [], False
 
 
 def mutate(graph, body: dict) -> dict:
@@ -174,7 +190,8 @@ class _Served:
                     body = json.loads(self.rfile.read(size) or b"{}")
                     if rest == "query":
                         with lock:
-                            return self._send(200, {"ok": True, "result": run_query(graph, body["q"])})
+                            result, more = run_query(graph, body["q"], int(body.get("page", 0)))
+                            return self._send(200, {"ok": True, "result": result} | ({"more": True} if more else {}))
                     if rest == "mutate":
                         if not writable:
                             return self._send(403, {"ok": False, "error": "the graph is read-only"})

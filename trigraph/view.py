@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 import tempfile
 import webbrowser
 
@@ -13,7 +14,7 @@ MOST_LINKS = 5000
 
 PAGE = """<!doctype html>
 <meta charset="utf-8"><title>{title}</title>
-<style>body{{margin:0;font:13px sans-serif;background:#fff;color:#222}}svg{{width:100vw;height:100vh}}line{{stroke:#999}}circle{{fill:#357}}text{{fill:#222}}</style>
+<style>body{{margin:0;font:13px sans-serif;background:{back}}}svg{{width:100vw;height:100vh}}line{{stroke:#888}}circle{{fill:{dot}}}text{{fill:{ink}}}</style>
 <svg id="g"></svg>
 <script type="application/json" id="data">{data}</script>
 <script>
@@ -26,9 +27,13 @@ d.nodes.forEach(n=>{{const p=at[n.id];el("circle",{{cx:p[0],cy:p[1],r:5}});el("t
 """
 
 
-def page(title: str, data: dict) -> str:
+LIGHT, DARK = {"back": "#fff", "dot": "#357", "ink": "#222"}, {"back": "#181a1f", "dot": "#7ac", "ink": "#ddd"}
+_DATA = re.compile(r'<script type="application/json" id="data">(.*?)</script>', re.S)
+
+
+def page(title: str, data: dict, dark: bool = False) -> str:
     text = json.dumps(data).replace("<", "\\u003c").replace(">", "\\u003e")
-    return PAGE.format(title=html.escape(title), data=text)
+    return PAGE.format(title=html.escape(title), data=text, **(DARK if dark else LIGHT))
 
 
 def _path(graph, name: str) -> str:
@@ -49,12 +54,13 @@ class View:
         self.files, self.path, self.html = files, path, text
 
     @classmethod
-    def of(cls, graph, name: str) -> View:
+    def of(cls, graph, name: str, persist: bool = True) -> View:
         t = graph._at()
         links = t.graph_links().limit(MOST_LINKS + 1).count()
         if links > MOST_LINKS:
             raise ValueError(f"a view shows at most {MOST_LINKS} links; use limit()")
-        return cls(Files(graph.spark), _path(graph, name), page(name, t.graph())).persist()
+        view = cls(Files(graph.spark), _path(graph, name), page(name, t.graph()))
+        return view.persist() if persist else view
 
     @classmethod
     def load(cls, graph, name: str) -> View:
@@ -68,11 +74,27 @@ class View:
         self.files.write_text(self.path, self.html)
         return self
 
-    def render(self, height: int = 600) -> str:
-        """The page inside a frame, for notebooks."""
-        return f'<iframe srcdoc="{html.escape(self.html)}" width="100%" height="{int(height)}"></iframe>'
+    @property
+    def data(self) -> dict:
+        """The page's nodes and links."""
+        return json.loads(_DATA.search(self.html)[1])
 
-    def show(self) -> View:
+    def render(self, height: int = 500, width: int = 700, dark: bool = False) -> str:
+        """The page inside a frame, for notebooks."""
+        text = page(html.unescape(re.search("<title>(.*?)</title>", self.html, re.S)[1]), self.data, dark) if dark else self.html
+        return f'<iframe srcdoc="{html.escape(text)}" width="{int(width)}" height="{int(height)}" frameborder="0"></iframe>'
+
+    def show(self, height: int = 500, width: int = 700, dark: bool = False) -> str:
+        """Shows the page in a notebook, if there is one, and returns its frame."""
+        frame = self.render(height, width, dark)
+        try:
+            from IPython.display import HTML, display
+        except ImportError:
+            return frame
+        display(HTML(frame))
+        return frame
+
+    def browse(self) -> View:
         """Opens a copy of the page in the browser of the driver's machine."""
         with tempfile.NamedTemporaryFile("w", suffix=".html", delete=False, encoding="utf-8") as f:
             f.write(self.html)
