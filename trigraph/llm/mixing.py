@@ -72,9 +72,12 @@ def allot(shares: Mapping[str, float], sizes: Mapping[str, int], repeats: Mappin
 
 
 def feasible_total(shares: Mapping[str, float], sizes: Mapping[str, int], repeats: Mapping[str, int]) -> float:
-    """Tokens of the largest mix in which every source can deliver its share within its repeats."""
-    whole = sum(shares.values())
-    return min((sizes.get(s, 0) * repeats[s] * whole / share for s, share in shares.items() if share > 0), default=0.0)
+    """Tokens of the largest mix in which every source can deliver its share within its repeats.
+
+    Sources that can't deliver anything are passed over; their shares go to the others in any mix.
+    """
+    able = {s: share for s, share in shares.items() if share > 0 and sizes.get(s, 0) * repeats[s] > 0}
+    return min((sizes[s] * repeats[s] * sum(able.values()) / share for s, share in able.items()), default=0.0)
 
 
 def due_time(delivered: Column, knots: Column) -> Column:
