@@ -53,7 +53,7 @@ def write_folder(edges: DataFrame, path: str, fmt: str = "nt", strict: bool = Fa
         nt_lines(edges, strict).write.text(path)
     else:
         named = edges.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"))
-        named.write.option("header", True).option("sep", "," if fmt == "csv" else "\t").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+        named.write.option("header", True).option("sep", "," if fmt == "csv" else "\t").option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def get_triples(graph) -> Iterator[tuple[str, str, str]]:

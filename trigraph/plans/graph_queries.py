@@ -14,7 +14,7 @@ from trigraph.operators import mutation, recursive, vectors
 from trigraph.operators.traversal import DESC, Traversal
 from trigraph.plans.triples import EDGES, graph, kept, table
 from trigraph.sources.documents import document_triples, flat_json_triples
-from trigraph.sources.files import read_csv, read_edgelist, read_triples, read_word_vectors, unpivot
+from trigraph.sources.files import read_csv, read_word_vectors, unpivot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -250,17 +250,31 @@ def _(spark, sf_dir):
     return kept(spark, sf_dir).tables.nodes.orderBy("id").limit(25)
 
 
-_PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+_PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+_BOOKS = """book_id goodreads_book_id best_book_id work_id books_count isbn isbn13 authors original_publication_year original_title title language_code average_rating
+ ratings_count work_ratings_count work_text_reviews_count ratings_1 ratings_2 ratings_3 ratings_4 ratings_5 image_url small_image_url loaded_at""".split()
+_DOUBLES = ("p_retailprice", "isbn13", "original_publication_year", "average_rating")
 
 
-@query("q35_csv_unpivot", " UNION ALL ".join(f"SELECT p_partkey::VARCHAR AS s, '{c}' AS p, coalesce({c}::VARCHAR, '') AS o FROM part" for c in _PART))
+def _plain(df: DataFrame) -> DataFrame:
+    """Numbers and times in the form that the checking engine writes too."""
+    forms = {"double": lambda c: F.col(c).try_cast("decimal(20,4)"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")}
+    return df.select(*(forms[t](c).alias(c) if t in forms else F.col(c) for c, t in df.dtypes))
+
+
+def _cells(columns, ident: str, source: str) -> str:
+    form = lambda c: f"TRY_CAST({c} AS DECIMAL(20,4))::VARCHAR" if c in _DOUBLES else f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c == "loaded_at" else f"{c}::VARCHAR"
+    return " UNION ALL ".join(f"SELECT coalesce({ident}::VARCHAR, '') AS s, '{c}' AS p, coalesce({form(c)}, '') AS o FROM {source}" for c in columns)
+
+
+@query("q35_csv_unpivot", _cells(_PART, "p_partkey", "part"))
 def _(spark, sf_dir):
-    return unpivot(table(spark, sf_dir, "part").select(*_PART), "p_partkey")
+    return unpivot(_plain(table(spark, sf_dir, "part")), "p_partkey")
 
 
-@query("q35b_books_unpivot", " UNION ALL ".join(f"SELECT coalesce(book_id::VARCHAR, '') AS s, '{c}' AS p, coalesce({c}::VARCHAR, '') AS o FROM books" for c in ("book_id", "authors", "title", "language_code", "ratings_count")))
+@query("q35b_books_unpivot", _cells(_BOOKS, "book_id", "books"))
 def _(spark, sf_dir):
-    return unpivot(table(spark, sf_dir, "books").select("book_id", "authors", "title", "language_code", "ratings_count"), "book_id")
+    return unpivot(_plain(table(spark, sf_dir, "books")), "book_id")
 
 
 @query("q36_json_triples", "SELECT concat('event:', event_id) AS s, unnest(json_keys(props)) AS p, json_extract_string(props, '$.k') AS o FROM events")
@@ -320,11 +334,11 @@ def _(spark, sf_dir):
     return g.compact().triples_df()
 
 
-@query("q39d_embedding_updates", "SELECT concat('label:', label) AS id, max_by(embedding[1], vec_id)::DOUBLE AS x FROM embeddings GROUP BY label HAVING max(vec_id) % 2 = 0")
+@query("q39d_embedding_updates", "SELECT id, unnest(range(len(vec)))::INTEGER AS at, unnest(vec) AS x FROM (SELECT concat('label:', label) AS id, max_by(embedding, vec_id)::DOUBLE[] AS vec FROM embeddings GROUP BY label HAVING max(vec_id) % 2 = 0)")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     log = e.select(F.col("vec_id").alias("seq"), F.when(F.col("vec_id") % 2 == 0, "P").otherwise("D").alias("op"), F.concat(F.lit("label:"), "label").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return mutation.live_embeddings(log).select("id", F.col("vec")[0].alias("x"))
+    return mutation.live_embeddings(log).select("id", F.posexplode("vec").alias("at", "x"))
 
 
 _ESC = r"""replace(replace(replace(replace(o, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r')"""
@@ -390,51 +404,18 @@ def _(spark, sf_dir):
     return every.agg(*(F.count_if(F.col("i") == i).alias(n) for i, n in enumerate(("nodes", "edges", "predicates"))))
 
 
-@query("q46_vectorize", f"WITH {K}, N AS (SELECT s AS id FROM K UNION SELECT o FROM K) SELECT id, 64 AS dimensions FROM N")
-def _(spark, sf_dir):
-    """All vertices embedded by the offline provider on the executors."""
-    import pandas as pd
-
-    from trigraph.sources.providers import hashing
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame(hashing(b["id"].tolist()), columns=["id", "vec"])
-
-    nodes = kept(spark, sf_dir).tables.nodes
-    return nodes.mapInPandas(run, "id string, vec array<double>").select("id", F.size("vec").alias("dimensions"))
-
-
 # files: written from the tables into the shared folder and read back by the engine's readers
-_WRAP = "CASE WHEN {0} LIKE '<%>' OR {0} LIKE '\\_:%' ESCAPE '\\' THEN {0} ELSE '<' || {0} || '>' END"
-
-
-@query("q47_load_triples", f"WITH {K} SELECT DISTINCT {_WRAP.format('s')} AS s, {_WRAP.format('p')} AS p, o FROM K WHERE NOT contains(s || p, ' ')")
-def _(spark, sf_dir):
-    path = shared_path(spark, "nt")
-    export.write_folder(kept(spark, sf_dir).triples_df().where("instr(p, ' ') = 0 and instr(s, ' ') = 0"), path, "nt", strict=True)
-    return read_triples(spark, path).distinct()
-
-
-@query("q48_load_edgelist", f"WITH {K} SELECT s, 'knows' AS p, o FROM K WHERE p = 'follows' AND s <> '' AND o <> '' AND NOT regexp_matches(s || o, '\\s')")
-def _(spark, sf_dir):
-    path = shared_path(spark, "edges")
-    rows = kept(spark, sf_dir).triples_df().where(r"p = 'follows' and s <> '' and o <> '' and not (concat(s, o) rlike '\\s')")
-    rows.select(F.concat_ws(" ", "s", "o").alias("value")).write.text(path)
-    return read_edgelist(spark, path, "knows")
-
-
-@query("q49_load_csv", " UNION ALL ".join(f"SELECT book_id::VARCHAR AS s, '{c}' AS p, coalesce({c}::VARCHAR, '') AS o FROM b" for c in ("book_id", "authors", "title")).join(("WITH b AS (SELECT DISTINCT book_id, authors, title FROM books WHERE book_id IS NOT NULL) ", "")))
+@query("q49_load_csv", _cells(_BOOKS, "book_id", "books"))
 def _(spark, sf_dir):
     path = shared_path(spark, "csv")
-    rows = table(spark, sf_dir, "books").select("book_id", "authors", "title").where("book_id is not null").distinct()
+    rows = _plain(table(spark, sf_dir, "books"))
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return read_csv(spark, path, "book_id")
 
 
-@query("q50_load_word_vectors", "SELECT concat('part:', vec_id) AS id, len(embedding)::INTEGER AS dimensions, round(embedding[1]::DOUBLE, 4) AS x FROM embeddings")
+@query("q50_load_word_vectors", "SELECT concat('part:', vec_id) AS id, unnest(range(len(embedding)))::INTEGER AS at, round(unnest(embedding)::DOUBLE, 4) + 0.0 AS x FROM embeddings")
 def _(spark, sf_dir):
     path = shared_path(spark, "vectors")
     e = table(spark, sf_dir, "embeddings")
     e.select(F.concat_ws(" ", F.concat(F.lit("part:"), "vec_id"), F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("double").cast("string")))).alias("value")).write.text(path)
-    return read_word_vectors(spark, path).select("id", F.size("vec").alias("dimensions"), F.round(F.col("vec")[0], 4).alias("x"))
+    return read_word_vectors(spark, path).select("id", F.posexplode("vec").alias("at", "x")).withColumn("x", F.round("x", 4) + 0.0)
