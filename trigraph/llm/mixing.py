@@ -11,6 +11,7 @@ import os
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +35,15 @@ def board(source: Column) -> Column:
 
 
 def token_sizes(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, tokens) per document. ``tokenizer`` is the path of a tokenizer file every executor can read."""
+    """(doc_id, source, tokens) per document. ``tokenizer`` is the path of a tokenizer file, which is sent to the executors."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_file(tokenizer)
+        coder = Tokenizer.from_file(SparkFiles.get(name))
         coder.encode_special_tokens = True
         for batch in batches:
             sizes = []
