@@ -28,26 +28,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples of the relational tables. A filter on ``p`` removes all other tables from the plan."""
-    text = EDGES
+def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     views = {}
     for name in TABLES:
-        if f"FROM {name}" in EDGES:
+        if f"FROM {name}" in text:
             views[name] = table(spark, sf_dir, name)
             text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
     return spark.sql(text, **views)
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of the relational tables. A filter on ``p`` removes all other tables from the plan."""
+    return _view(spark, sf_dir, EDGES)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("part:"), "vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_triples(edges(spark, sf_dir), embeddings=vectors(spark, sf_dir))
+    """The graph; its vertices and predicates are made distinct by themselves, without making the edges distinct first."""
+    every = _view(spark, sf_dir, EDGES.replace("UNION SELECT", "UNION ALL SELECT"))
+    ends, kinds = every.select(F.explode(F.array("s", "o")).alias("id")).distinct(), every.select("p").distinct()
+    return Graph.from_triples(edges(spark, sf_dir), ends, kinds, vectors(spark, sf_dir))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of the ``triples`` table: a set of (s, p, o), rows with null parts left out."""
-    rows = table(spark, sf_dir, "triples").select("s", "p", "o").dropna().distinct()
-    return Graph.from_triples(rows)
+    every = table(spark, sf_dir, "triples").select("s", "p", "o").dropna()
+    return Graph.from_triples(every.distinct(), every.select(F.explode(F.array("s", "o")).alias("id")).distinct(), every.select("p").distinct())
