@@ -290,11 +290,14 @@ def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], firsts
 
 
 def _meeting_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(folded, one, two, taken): the pairs of keys a name meets others on, one for each of two different parts.
+    """(folded, one, two, taken, lead): the pairs of keys a name meets others on, one for each of two different parts.
 
     A part's own token is a key, and it takes the commoner tokens like it as keys; the first part only those a slip
     apart. The second part also takes the letters of its initials, and two further parts those of words given by initials. ``taken`` adds 2 if the first key
     is taken and 1 if the second is; of two like parts at most one has taken the key.
+
+    ``lead`` marks the keys whose second part is the rarest one beside the first. Of two linked names one has no part
+    left over, so its rarest part beside any other is alike in the other name: it is enough that one of the two leads.
     """
     for batch in batches:
         rows = []
@@ -303,21 +306,26 @@ def _meeting_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = [{t: 0} | dict.fromkeys(() if p["up"] is None else p["up"], 1) for t, p in zip(tokens, parts)]
             firsts = [[(k, 2 * f) for k, f in own.items() if not f or mistyped(t, k)] for t, own in zip(tokens, words)]
             if len(tokens) == 1:
-                rows.extend((folded, k, "", f) for k, f in firsts[0])
+                rows.extend((folded, k, "", f, True) for k, f in firsts[0])
                 continue
             keys = []
             for t, p, own in zip(tokens, parts, words):
                 letters = {} if len(t) == 1 else {x[0]: 1 for x in (t, *(() if p["firsts"] is None else p["firsts"]))}
                 keys.append(letters | own | ({"^" + "".join(sorted(t[:2])): 0} if 2 <= len(t) <= 4 else {}))
-            found = set()
+            rare = sorted(range(len(tokens)), key=lambda j: (len(tokens[j]) == 1, -parts[j]["w"], tokens[j], j))
+            found: dict[tuple, bool] = {}
             for i, t in enumerate(tokens):
                 if len(t) > 1 or all(len(x) == 1 for x in tokens):
                     others = [j for j in range(len(tokens)) if j != i]
-                    second = [k for j in others for k in keys[j].items()]
-                    second += {("^" + "".join(sorted(tokens[j][0] + tokens[k][0])), 1) for j in others for k in others if j < k}
-                    found.update((folded, one, two, f + g) for one, f in firsts[i] for two, g in second)
-            rows.extend(found)
-        yield pd.DataFrame(rows, columns=["folded", "one", "two", "taken"])
+                    first = next(j for j in rare if j != i)
+                    second = [(*k, j == first) for j in others for k in keys[j].items()]
+                    second += {("^" + "".join(sorted(tokens[j][0] + tokens[k][0])), 1, True) for j in others for k in others if j < k}
+                    for one, f in firsts[i]:
+                        for two, g, lead in second:
+                            at = (folded, one, two, f + g)
+                            found[at] = found.get(at, False) or lead
+            rows.extend((*at, lead) for at, lead in found.items())
+        yield pd.DataFrame(rows, columns=["folded", "one", "two", "taken", "lead"])
 
 
 def name_links(names: DataFrame, nicknames: Mapping[str, str] = NICKNAMES) -> tuple[DataFrame, DataFrame]:
@@ -350,10 +358,12 @@ def name_links(names: DataFrame, nicknames: Mapping[str, str] = NICKNAMES) -> tu
     part = F.struct("i", "token", "w", "firsts", "up")
     whole = cut(lookup(parts, known, ["token"], "hot").groupBy("folded").agg(F.array_sort(F.collect_list(part)).alias("parts")))
 
-    keyed = cut(whole.select("folded", F.expr("transform(parts, p -> struct(p.token, p.firsts, p.up))").alias("parts")).mapInPandas(_meeting_keys, "folded string, one string, two string, taken int"))
-    met = lambda left, right: left.select(F.col("folded").alias("a"), "one", "two").join(right.select(F.col("folded").alias("b"), "one", "two"), ["one", "two"])
+    needed = whole.select("folded", F.expr("transform(parts, p -> struct(p.token, p.w, p.firsts, p.up))").alias("parts"))
+    keyed = cut(needed.mapInPandas(_meeting_keys, "folded string, one string, two string, taken int, lead boolean"))
+    left = keyed.where("lead").select(F.col("folded").alias("a"), "one", "two", F.col("taken").alias("ta"))
+    right = keyed.select(F.col("folded").alias("b"), "one", "two", F.col("taken").alias("tb"))
     # Of two parts that are alike one is the key and the other takes it, so a common first name takes no others.
-    pairs = met(keyed, keyed.where("taken = 0")).unionByName(met(keyed.where("taken = 2"), keyed.where("taken = 1")))
+    pairs = left.join(right, ["one", "two"]).where("ta & tb = 0")
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = whole.select("folded", F.expr("transform(parts, p -> struct(p.token, p.w, p.firsts))").alias("parts"))
     pairs = pairs.join(full.select(F.col("folded").alias("a"), F.col("parts").alias("pa")), "a").join(full.select(F.col("folded").alias("b"), F.col("parts").alias("pb")), "b")
