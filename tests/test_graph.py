@@ -265,7 +265,7 @@ def test_vectorize(g):
 
     register("broken", broken)
     try:
-        assert g.vectorize(["zzz", "fruit"], "broken") == {"vectorized": 0, "skipped": 1, "total": 2, "errors": ["no service"]}
+        assert g.vectorize(["zzz", "fruit"], "broken") == {"vectorized": 0, "skipped": 1, "total": 2, "errors": ["no service"], "failed_batches": 1}
     finally:
         PROVIDERS.pop("broken")
     for bad in ({"batch_size": 0}, {"provider": "none"}):
