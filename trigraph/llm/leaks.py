@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trigraph.functions.lineage import cut
-from trigraph.functions.ranks import running_total
 from trigraph.llm.text import words_of, words_with_places
 from trigraph.llm.variants import one_slip
 
@@ -197,7 +196,7 @@ def prepared_items(items: DataFrame, item_id: str = "item_id", item_text: str =
             yield pd.DataFrame({"item_id": batch["i"], "words": [words_of(t) for t in batch["t"]]})
 
     texts = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
-    held = cut(texts.mapInPandas(split, "item_id long, words array<string>").distinct())
+    held = texts.mapInPandas(split, "item_id long, words array<string>").distinct()
     ways = cut(held.select("words").distinct().mapInPandas(_openings, "words array<string>, size int, prefix long, signs array<long>"))
     shared = ways.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STOCK_ITEMS)
     signs = ways.join(shared, "prefix").select("prefix", "n", F.posexplode("signs").alias("j", "sign"))
@@ -234,8 +233,8 @@ def find_leaks(
     most ``GAP`` unlike ones between two of them; words of a stock opening (``prepared_items``) don't count as
     reproduced. If an item's own words are less than ``share`` of it, all of them are asked for.
 
-    Items are prepared by the executors and go to them in blocks of about ``block_words`` words (a longer item is a
-    block of its own), each read by the driver alone and scanned over all texts, so no broadcast grows past that bound.
+    Items are prepared by the executors, spread by a hash over blocks of about ``block_words`` words, and go to the executors
+    block by block, each scanned over all texts, so neither driver nor broadcast holds more than a block.
 
     Defined cases: null texts, items, or ids give no rows; empty texts have no words. Items of fewer words than a
     phrase are matched as a whole. Repeated documents give one row; equal items under two ids are both reported, and
@@ -243,13 +242,13 @@ def find_leaks(
     confined to the surroundings of hits. Other columns are never read.
     """
     spark = docs.sparkSession
-    placed = running_total(prepared_items(items, item_id, item_text), [F.col("item_id"), F.col("words")], F.size("words").cast("bigint"))
-    blocks = cut(placed.select("item_id", "words", "opening", F.floor(F.col("before") / block_words).cast("bigint").alias("block")))
-    top = blocks.agg(F.max("block")).first()[0]
+    held = cut(prepared_items(items, item_id, item_text))
+    blocks = -(-(held.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words)
+    mine = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, blocks)))
     base = docs.select(F.col(doc_id).cast("bigint").alias("__i"), F.col(text).cast("string").alias("__t")).where("__i is not null and __t is not null")
     out = None
-    for block in range(0 if top is None else top + 1):
-        rows = [(r.item_id, list(r.words), r.opening) for r in blocks.where(F.col("block") == block).select("item_id", "words", "opening").collect()]
+    for block in range(blocks):
+        rows = [(r.item_id, list(r.words), r.opening) for r in held.where(mine == block).collect()]
         if not rows:
             continue
         shared, key = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
