@@ -222,6 +222,21 @@ def test_bounded_dfs_marks_on_push(spark):
     assert ids(g.v("a").dfs("p", max_depth=2, until=lambda x: x == "c")) == ["b", "c", "e"]
 
 
+def test_bounded_dfs_beyond_the_drivers_edges(spark, monkeypatch):
+    """Too many edges for the driver raised an error; the executors reach the same rows by the same paths."""
+    rng = random.Random(0)
+    v = [f"v{i:02}" for i in range(14)]
+    tables = Graph.from_triples(triples_frame(spark, sorted({(rng.choice(v), rng.choice("pq"), rng.choice(v)) for _ in range(40)})).cache(), stored=True).tables
+    for most, least, direction, until, track in ((3, 0, "out", lambda x: x in ("v01", "v02"), True), (None, 3, "inc", None, False)):
+        starts = rng.sample(v, 2)
+        t = Traversal.start(tables, [*starts, starts[0]], None, track)
+        search = lambda: Counter(map(str, recursive.dfs(t.tag("from") if track else t, None, most, least, direction, until).rows.collect()))  # noqa: E731, B023
+        few = search()
+        with monkeypatch.context() as m:
+            m.setattr(recursive, "DRIVER_EDGES", 0)
+            assert few and search() == few
+
+
 def test_searches_edge_cases(spark):
     g = Graph.from_triples(triples_frame(spark, [("a", "p", "b"), ("b", "p", "c"), ("c", "p", "a")]))
     assert ids(g.v("a").bfs()) == ["b", "c"]
