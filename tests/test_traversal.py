@@ -169,6 +169,27 @@ def test_whole_frontier_hops_have_no_join(g):
     assert "Join" not in plan
 
 
+def test_unique_after_hops_does_not_make_all_paths(spark):
+    """A hub makes paths of all pairs of its neighbours; the least path to each is found without them."""
+    rng = random.Random(1)
+    v = [f"v{i}" for i in range(9)]
+    start = Traversal.start(Graph.from_triples(triples_frame(spark, sorted({(rng.choice(v), rng.choice("pq"), rng.choice(v)) for _ in range(30)})).cache()).tables)
+    for chain in (
+        lambda t: t.tag("a").out().inc("p"),
+        lambda t: t.filter(F.col("id") > "v3").out("p").filter(lambda x: x < "v7").tag("b").both(),
+        lambda t: t.tag("a").out("p").out().back("a").inc().hasr(["p", "q"], "v1"),
+        lambda t: t.out().filter(F.element_at("path", 1) > "v4").order().out().has("q", "v2"),
+    ):
+        t = chain(start)
+        rows = lambda df: sorted((r["id"], str(r["tags"]), *r["edges"], *r["path"]) for r in df.collect())
+        least: dict[str, tuple] = {}
+        for r in sorted(t.rows.collect(), key=lambda r: r["path"], reverse=True):
+            least[r["id"]] = (r["id"], str(r["tags"]), *r["edges"], *r["path"])
+        assert rows(t.unique().rows) == sorted(least.values())
+    plan = start.out("p").inc("p").unique().rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by") >= 2
+
+
 def reach(edges, starts, preds, most, least, direction, until, unique):
     """The search rule, on one machine."""
     def near(v):
